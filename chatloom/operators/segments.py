@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatloom.session import ship_package
+
 
 def long_chat_starts(messages: DataFrame, max_tokens: int) -> DataFrame:
     """Add ``block_start`` to segmented messages with sessions and sizes."""
+    ship_package(messages.sparkSession)
     piece = ["chat_key", "session", "segment"]
     outcomes = (
         messages.select(*piece, "ts", "pos", "n_tokens")
@@ -50,16 +53,16 @@ def _outcome_schema(messages: DataFrame) -> T.StructType:
     return (
         T.StructType()
         .add("chat_key", key)
-        .add("session", "bigint")
-        .add("segment", "int")
+        .add("session", T.LongType())
+        .add("segment", T.IntegerType())
         # The outcome holds when the open block has low <= tokens <= high; a
         # missing high means no upper end.
-        .add("low", "bigint")
-        .add("high", "bigint")
+        .add("low", T.LongType())
+        .add("high", T.LongType())
         # Start of the block left open, missing when the piece adds none.
-        .add("last_start", "bigint")
+        .add("last_start", T.LongType())
         # Tokens of that block, or the tokens added to the block carried in.
-        .add("tokens", "bigint")
+        .add("tokens", T.LongType())
     )
 
 
@@ -68,10 +71,10 @@ def _carried_schema(messages: DataFrame) -> T.StructType:
     return (
         T.StructType()
         .add("chat_key", key)
-        .add("session", "bigint")
-        .add("segment", "int")
-        .add("open_tokens", "bigint")
-        .add("open_start", "bigint")
+        .add("session", T.LongType())
+        .add("segment", T.IntegerType())
+        .add("open_tokens", T.LongType())
+        .add("open_start", T.LongType())
     )
 
 

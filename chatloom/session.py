@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +16,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> Spar
         SparkSession.builder.master(master)
         .appName("chatloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -39,3 +42,19 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 
 def _checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="chatloom-")) / "chatloom"
+    context.addPyFile(
+        shutil.make_archive(str(target), "zip", package.parent, package.name)
+    )
+    _shipped.add(context.applicationId)
