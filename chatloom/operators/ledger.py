@@ -103,8 +103,9 @@ def latest_status(events: DataFrame, order: list[str]) -> DataFrame:
 
 def with_model_template(rows: DataFrame, model: str) -> DataFrame:
     """Add the chat template of a model by joining the fixed list of models."""
-    spark = rows.sparkSession
-    models = spark.createDataFrame(
-        list(MODEL_TEMPLATES.items()), f"{model} string, chat_template string"
-    )
+    entries = [
+        F.struct(F.lit(name).alias(model), F.lit(template).alias("chat_template"))
+        for name, template in MODEL_TEMPLATES.items()
+    ]
+    models = rows.sparkSession.range(1).select(F.inline(F.array(*entries)))
     return rows.join(F.broadcast(models), model, "left")

@@ -53,3 +53,94 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp_ntz").alias("ts"),
         (1 + F.col("event_id") % 7).alias("n_tokens"),
     )
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a ledger of runs, one run per event."""
+    kind = F.col("event_type")
+    failed = kind == "error"
+    return table(spark, sf_dir, "events").select(
+        F.md5(F.col("event_id").cast("string")).alias("run_id"),
+        F.when(F.col("event_id") % 2 == 0, "data-prep").otherwise("fine-tuning").alias("type"),
+        status_of(kind).alias("status"),
+        F.col("ts").cast("timestamp_ntz").alias("created_at"),
+        F.when(failed, F.col("props")).alias("error"),
+    )
+
+
+def status_of(event_type):
+    return (
+        F.when(event_type == "signup", "queued")
+        .when(event_type == "click", "running")
+        .when(event_type == "error", "failed")
+        .otherwise("completed")
+    )
+
+
+# Rows that one exported document holds at most: conversations times turns.
+DOCUMENT_CONVERSATIONS, DOCUMENT_TURNS = 50, 4
+
+
+def export_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw chats with message arrays: four turns of a conversation are one chat.
+
+    The bound keeps every array small, however long the conversation is. The
+    pause before turn 4 falls on a chat border, so blocks are the same.
+    """
+    raw = chat_raw(spark, sf_dir)
+    message = F.struct("pos", "from", "date", "text_entities", "sticker_emoji")
+    return (
+        raw.groupBy(
+            "chat_key",
+            F.floor(F.col("pos") / (10000 * DOCUMENT_TURNS)).alias("part"),
+            "name",
+            "type",
+        )
+        .agg(F.array_sort(F.collect_list(message)).alias("messages"))
+        .withColumn("messages", F.transform("messages", lambda m: m.dropFields("pos")))
+    )
+
+
+def write_exports(
+    spark: SparkSession, sf_dir: str, path: str, with_bad_files: bool = False
+) -> None:
+    """Write chats as JSON documents of both list shapes, one document per file.
+
+    Every fourth document can be broken, and every fourth without chats.
+    """
+    chat = F.struct("name", "type", "messages")
+    doc = F.floor(F.col("chat_key") / DOCUMENT_CONVERSATIONS) * 10 + F.col("part")
+    listed = F.to_json("chats", {"ignoreNullFields": "false"})
+    text = F.when(F.col("doc") % 2 == 0, listed).otherwise(
+        F.concat(F.lit('{"about": "me", "chats": {"list": '), listed, F.lit("}}"))
+    )
+    if with_bad_files:
+        number = F.floor(F.col("doc") / 10) * 2 + F.col("doc") % 10
+        text = (
+            F.when(number % 4 == 3, F.concat(F.lit("{"), text))
+            .when(number % 4 == 2, F.lit('{"other": 1}'))
+            .otherwise(text)
+        )
+    (
+        export_chats(spark, sf_dir)
+        .groupBy(doc.alias("doc"))
+        .agg(F.collect_list(chat).alias("chats"))
+        .select("doc", text.alias("value"))
+        .write.partitionBy("doc")
+        .text(path)
+    )
+
+
+def write_chat_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write one chat per file."""
+    chat = F.struct("name", "type", "messages")
+    (
+        export_chats(spark, sf_dir)
+        .select(
+            "chat_key",
+            "part",
+            F.to_json(chat, {"ignoreNullFields": "false"}).alias("value"),
+        )
+        .write.partitionBy("chat_key", "part")
+        .text(path)
+    )

@@ -93,9 +93,9 @@ def read_exports(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_export_dir(spark: SparkSession, path: str) -> DataFrame:
-    """One chat per ``*.json`` file, keyed in name order; broken files are left out."""
-    documents = read_documents(spark, path, glob="*.json")
+def read_export_dir(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """One chat per matching file, keyed in name order; broken files are left out."""
+    documents = read_documents(spark, path, glob=glob)
     return documents.filter(F.col("document").isNotNull()).select(
         F.col("source").alias("chat_key"),
         _text("document", "name").alias("name"),

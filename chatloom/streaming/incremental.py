@@ -18,7 +18,7 @@ from chatloom.plans.prepare import land, land_messages, prepare_chats, write_out
 from chatloom.sources import exports
 
 LEDGER = (
-    "run_id string, type string, status string, created_at timestamp,"
+    "run_id string, source string, type string, status string, created_at timestamp,"
     " error string, n_chats int, batch bigint"
 )
 
@@ -78,6 +78,7 @@ def process_batch(
     status = F.col("status")
     done = exports.export_file_report(documents).select(
         "run_id",
+        "source",
         F.lit(PREP).alias("type"),
         F.when(status == exports.OK, COMPLETED).otherwise(FAILED).alias("status"),
         "created_at",
