@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,13 @@ def total(items: Column, field: str) -> Column:
     return F.aggregate(
         items, F.lit(0).cast("bigint"), lambda acc, item: acc + item[field]
     )
+
+
+def add_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add or replace a costly column so that it is evaluated once per row.
+
+    A filter on a plain column is pushed below it with a copy of its expression;
+    it cannot pass a generator.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.inline(F.array(F.struct(value.alias(name)))))

@@ -28,9 +28,14 @@ MESSAGE_COLUMNS = ("ts", "pos", "role", "content", "n_tokens")
 KEPT, SHORT, LONG = "kept", "short", "long"
 
 
-def chronological(messages: DataFrame, rows_per_segment: int) -> Ordered:
-    """Messages in time order per chat; equal times keep the source order."""
-    return order_rows(messages, ["chat_key"], ["ts", "pos"], rows_per_segment)
+def chronological(
+    messages: DataFrame, rows_per_segment: int, raw: DataFrame | None = None
+) -> Ordered:
+    """Messages in time order per chat; equal times keep the source order.
+
+    Chats are sized by their raw messages if given, without parsing them.
+    """
+    return order_rows(messages, ["chat_key"], ["ts", "pos"], rows_per_segment, raw)
 
 
 def message_gap(rows: Ordered) -> Ordered:

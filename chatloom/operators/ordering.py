@@ -56,16 +56,23 @@ class Ordered:
 
 
 def order_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_segment: int
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows_per_segment: int,
+    counted: DataFrame | None = None,
 ) -> Ordered:
     """Split rows into light keys and segmented heavy keys.
 
     ``order`` must be unique within a key. Sizes come from one partially
-    aggregated count, of which a single row reaches the driver.
+    aggregated count, of which a single row reaches the driver. ``counted`` may
+    give rows that are cheaper to scan and hold at least the keys of ``df`` as
+    often as ``df`` does.
     """
     keys, order = tuple(keys), tuple(order)
     sizes = (
-        df.groupBy(*keys)
+        (df if counted is None else counted)
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .filter(F.col("n_rows") > rows_per_segment)
     )

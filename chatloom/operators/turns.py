@@ -77,10 +77,8 @@ def prepend_system(blocks: DataFrame, system_text: str | None) -> DataFrame:
 def turn_tokens(blocks: DataFrame, counter=DEFAULT_COUNTER) -> DataFrame:
     """Add ``n_tokens`` of the merged text."""
     sizes = counter.of_texts(F.transform("turns", lambda t: t["content"]))
-    return blocks.withColumn(
-        "n_tokens",
-        F.aggregate(sizes, F.lit(0).cast("bigint"), lambda acc, n: acc + n),
-    )
+    summed = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    return arrays.add_once(blocks, "n_tokens", summed)
 
 
 def violation(turns: Column) -> Column:
@@ -127,6 +125,7 @@ def reviewed_blocks(
         .when(F.col("n_tokens") > high, LONG)
         .otherwise(violation(F.col("turns")))
     )
+    turns = arrays.add_once(turns, "turns", F.col("turns"))
     return turn_tokens(turns, counter).withColumn("outcome", outcome)
 
 

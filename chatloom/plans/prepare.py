@@ -19,10 +19,12 @@ from chatloom.sinks import runs
 from chatloom.sources.exports import export_messages
 
 
-def message_blocks(messages: DataFrame, cfg: PrepConfig) -> DataFrame:
+def message_blocks(
+    messages: DataFrame, cfg: PrepConfig, raw: DataFrame | None = None
+) -> DataFrame:
     """All pass-1 blocks of usable messages, with verdict."""
     low, high = cfg.token_limits
-    rows = bl.chronological(messages, cfg.rows_per_segment)
+    rows = bl.chronological(messages, cfg.rows_per_segment, raw)
     sessions = bl.time_sessions(rows, cfg.gap_seconds)
     return bl.with_verdict(bl.token_blocks(sessions, high), low, high)
 
@@ -32,7 +34,7 @@ def prepare_chats(raw: DataFrame, cfg: PrepConfig, counter=DEFAULT_COUNTER) -> D
 
     One shuffle by chat carries messages through sessions, blocks and turns.
     """
-    blocks = message_blocks(usable_messages(raw, cfg, counter), cfg)
+    blocks = message_blocks(usable_messages(raw, cfg, counter), cfg, raw)
     return reviewed_blocks(blocks, cfg, counter)
 
 

@@ -58,8 +58,13 @@ def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.usable_messages(ad.chat_raw(spark, sf_dir), CFG)
 
 
+def in_order(spark: SparkSession, sf_dir: str) -> ordering.Ordered:
+    raw = ad.chat_raw(spark, sf_dir)
+    return bl.chronological(usable(spark, sf_dir), CFG.rows_per_segment, raw)
+
+
 def pass_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return message_blocks(usable(spark, sf_dir), CFG)
+    return message_blocks(usable(spark, sf_dir), CFG, ad.chat_raw(spark, sf_dir))
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +230,7 @@ def quarantine(spark, sf_dir):
 
 @query
 def chronological(spark, sf_dir):
-    rows = bl.chronological(usable(spark, sf_dir), CFG.rows_per_segment)
+    rows = in_order(spark, sf_dir)
     numbered = ordering.add_row_number(rows, "place").union()
     return numbered.select("chat_key", "pos", "place")
 
@@ -235,7 +240,7 @@ def chronological(spark, sf_dir):
 
 @query
 def message_gap(spark, sf_dir):
-    rows = bl.chronological(usable(spark, sf_dir), CFG.rows_per_segment)
+    rows = in_order(spark, sf_dir)
     return bl.message_gap(rows).union().select("chat_key", "pos", "gap_seconds")
 
 
@@ -247,7 +252,7 @@ def event_gap(spark, sf_dir):
 
 @query
 def time_sessions(spark, sf_dir):
-    rows = bl.chronological(usable(spark, sf_dir), CFG.rows_per_segment)
+    rows = in_order(spark, sf_dir)
     sessions = bl.time_sessions(rows, CFG.gap_seconds).union()
     return sessions.select("chat_key", "pos", "session")
 
