@@ -43,12 +43,13 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def iso_format(ts: Column) -> Column:
-    """ISO 8601 text; microseconds only when they are not zero."""
-    seconds = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(ts, "SSSSSS")
-    return F.when(fraction == "000000", seconds).otherwise(
-        F.concat(seconds, F.lit("."), fraction)
-    )
+    """ISO 8601 text; microseconds only when they are not zero.
+
+    Goes through the plain cast, which unlike ``date_format`` is independent of
+    the session time zone.
+    """
+    text = F.replace(ts.cast("string"), F.lit(" "), F.lit("T"))
+    return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:
@@ -57,4 +58,6 @@ def is_blank(text: Column) -> Column:
 
 
 def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """Wall-clock microseconds between two TIMESTAMP_NTZ, whatever the session zone."""
+    seconds = (end - start).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("bigint")

@@ -6,6 +6,8 @@ message joins the open block while the token sum stays within the maximum.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ def message_gap(rows: Ordered) -> Ordered:
 
 def time_sessions(rows: Ordered, gap_seconds: int) -> Ordered:
     """Number the sessions of a chat from 0; a gap equal to the limit continues."""
-    micros = micros_between(F.col("prev_ts"), F.col("ts"))
-    opens = F.when(micros <= gap_seconds * 1_000_000, 0).otherwise(1)
+    gap, longest = F.col("ts") - F.col("prev_ts"), F.lit(timedelta(seconds=gap_seconds))
+    opens = F.when(gap <= longest, 0).otherwise(1)
     counted = add_running_sum(add_previous(rows, "ts", "prev_ts"), opens, "session")
     return counted.map(
         lambda df: df.withColumn("session", F.col("session") - 1).drop("prev_ts")

@@ -29,7 +29,7 @@ def union_jobs(prep: DataFrame, tune: DataFrame) -> DataFrame:
 
 def my_runs(ledger: DataFrame, run_ids: DataFrame) -> DataFrame:
     """Ledger rows of the listed runs; Spark picks the join by measured size."""
-    return ledger.join(run_ids, "run_id", "left_semi")
+    return ledger.join(run_ids.select("run_id").distinct(), "run_id", "left_semi")
 
 
 def filter_ledger(
@@ -73,7 +73,9 @@ def queue_summary(ledger: DataFrame) -> DataFrame:
 
 def queue_with_created(queue: DataFrame, jobs: DataFrame) -> DataFrame:
     """Queue rows with the creation time of their job, '' when unknown."""
-    created = jobs.select("run_id", F.col("created_at").cast("string").alias("created"))
+    created = jobs.groupBy("run_id").agg(
+        F.max("created_at").cast("string").alias("created")
+    )
     return queue.join(created, "run_id", "left").withColumn(
         "created", F.coalesce("created", F.lit(""))
     )
@@ -90,7 +92,15 @@ def new_submissions(batch: DataFrame, ledger: DataFrame, order: list[str]) -> Da
         .agg(F.min_by(F.struct(*others), F.struct(*order)).alias("first"))
         .select("run_id", "first.*")
     )
-    return first.join(ledger.select("run_id"), "run_id", "left_anti")
+    return unknown_runs(first, ledger)
+
+
+def unknown_runs(batch: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Rows whose run_id the ledger does not hold.
+
+    The ledger side is reduced to distinct ids, so repeated ids there cost nothing.
+    """
+    return batch.join(ledger.select("run_id").distinct(), "run_id", "left_anti")
 
 
 def latest_status(events: DataFrame, order: list[str]) -> DataFrame:

@@ -58,7 +58,12 @@ def since(messages: DataFrame, limit: datetime | None) -> DataFrame:
     """Keep messages at or after the limit."""
     if limit is None:
         return messages
-    return messages.filter(F.col("ts") >= F.lit(limit).cast("timestamp_ntz"))
+    return messages.filter(F.col("ts") >= _wall_clock(limit))
+
+
+def _wall_clock(moment: datetime) -> Column:
+    """Literal that no session or process time zone shifts."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def nonempty(messages: DataFrame) -> DataFrame:
@@ -131,7 +136,7 @@ def quarantine(raw: DataFrame, cfg: PrepConfig) -> DataFrame:
     )
     if limit is not None:
         reason = reason.when(
-            F.col("ts") < F.lit(limit).cast("timestamp_ntz"), "before date limit"
+            F.col("ts") < _wall_clock(limit), "before date limit"
         )
     reason = reason.when(F.length("content") == 0, "empty content")
     return (

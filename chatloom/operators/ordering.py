@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.session import scratch_path
+from chatloom.session import land
 
 # A list of heavy keys up to this length is broadcast; a longer one is joined
 # by shuffle. The length is counted before.
@@ -29,13 +29,15 @@ class Ordered:
 
     ``light`` holds whole keys of at most the row limit; ``heavy`` the other
     keys with an extra ``segment`` column, or None when there are none. Segment
-    numbers of a key ascend with its order columns.
+    numbers of a key ascend with its order columns. ``stored`` is the written
+    table behind ``heavy``, for aggregates that need no added column.
     """
 
     light: DataFrame
     heavy: DataFrame | None
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    stored: DataFrame | None = None
 
     def light_window(self):
         return Window.partitionBy(*self.keys).orderBy(*self.order)
@@ -46,7 +48,7 @@ class Ordered:
     def map(self, change: Callable[[DataFrame], DataFrame]) -> Ordered:
         """The same row-wise change on both parts."""
         heavy = None if self.heavy is None else change(self.heavy)
-        return Ordered(change(self.light), heavy, self.keys, self.order)
+        return replace(self, light=change(self.light), heavy=heavy)
 
     def union(self) -> DataFrame:
         """Both parts as one DataFrame without segment numbers."""
@@ -89,71 +91,68 @@ def order_rows(
         .withColumn("segment", F.spark_partition_id())
     )
     light = df.join(heavy_keys, list(keys), "left_anti")
-    return Ordered(light, _write_down(heavy), keys, order)
-
-
-def _write_down(heavy: DataFrame) -> DataFrame:
-    """Fix the segment numbers: range bounds are sampled anew by every job."""
-    spark = heavy.sparkSession
-    path = scratch_path(spark, "segments")
-    heavy.write.parquet(path)
-    return spark.read.schema(heavy.schema).parquet(path)
+    # Range bounds are sampled anew by every job, so the numbers are written
+    # down. One shuffle by segment then serves all windows and groups.
+    stored = land(heavy, "segments")
+    return Ordered(light, stored.repartition("segment"), keys, order, stored)
 
 
 def add_previous(rows: Ordered, value: str, name: str) -> Ordered:
     """Value of the row before, NULL at the first row of a key."""
     light = rows.light.withColumn(name, F.lag(value).over(rows.light_window()))
     if rows.heavy is None:
-        return Ordered(light, None, rows.keys, rows.order)
-    last = _per_segment(
-        rows, F.max_by(value, F.struct(*rows.order)).alias("carried")
-    ).withColumn("carried", F.lag("carried").over(_segments_of(rows)))
+        return replace(rows, light=light)
+    source = rows.stored if value in rows.stored.columns else rows.heavy
+    last = F.max_by(value, F.struct(*rows.order))
+    before = F.lag("carried").over(_segments_of(rows))
     window = rows.segment_window()
-    heavy = (
-        rows.heavy.join(last, [*rows.keys, "segment"])
-        .withColumn(
-            name,
-            F.when(F.row_number().over(window) == 1, F.col("carried")).otherwise(
-                F.lag(value).over(window)
-            ),
-        )
-        .drop("carried")
+    lagged = F.when(F.row_number().over(window) == 1, F.col("carried")).otherwise(
+        F.lag(value).over(window)
     )
-    return Ordered(light, heavy, rows.keys, rows.order)
+    heavy = _with_carried(rows, source, last, before).withColumn(name, lagged)
+    return replace(rows, light=light, heavy=heavy.drop("carried"))
 
 
 def add_running_sum(rows: Ordered, value: Column, name: str) -> Ordered:
     """Sum of ``value`` over the rows of the key up to and including this one."""
-    value = value.cast("bigint")
+    return _running_sum(rows, value.cast("bigint"), name, rows.heavy)
+
+
+def _running_sum(
+    rows: Ordered, value: Column, name: str, source: DataFrame | None
+) -> Ordered:
     frame = (Window.unboundedPreceding, Window.currentRow)
     light = rows.light.withColumn(
         name, F.sum(value).over(rows.light_window().rowsBetween(*frame))
     )
     if rows.heavy is None:
-        return Ordered(light, None, rows.keys, rows.order)
-    before = _segments_of(rows).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = _per_segment(rows, F.sum(value).alias("carried")).withColumn(
-        "carried", F.coalesce(F.sum("carried").over(before), F.lit(0))
-    )
-    heavy = (
-        rows.heavy.join(offsets, [*rows.keys, "segment"])
-        .withColumn(
-            name,
-            F.sum(value).over(rows.segment_window().rowsBetween(*frame))
-            + F.col("carried"),
-        )
-        .drop("carried")
+        return replace(rows, light=light)
+    earlier = _segments_of(rows).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("carried").over(earlier), F.lit(0))
+    inside = F.sum(value).over(rows.segment_window().rowsBetween(*frame))
+    heavy = _with_carried(rows, source, F.sum(value), before).withColumn(
+        name, inside + F.col("carried")
     )
-    return Ordered(light, heavy, rows.keys, rows.order)
+    return replace(rows, light=light, heavy=heavy.drop("carried"))
 
 
 def add_row_number(rows: Ordered, name: str) -> Ordered:
     """1-based position within the key."""
-    return add_running_sum(rows, F.lit(1), name)
+    return _running_sum(rows, F.lit(1).cast("bigint"), name, rows.stored)
 
 
-def _per_segment(rows: Ordered, aggregate: Column) -> DataFrame:
-    return rows.heavy.groupBy(*rows.keys, "segment").agg(aggregate)
+def _with_carried(
+    rows: Ordered, source: DataFrame, per_segment: Column, before: Column
+) -> DataFrame:
+    """Heavy rows with ``carried``: what their segment takes over from earlier ones.
+
+    The carried values, one row per key and segment, are written down, so that
+    later steps do not compute them again.
+    """
+    segment = [*rows.keys, "segment"]
+    sums = source.groupBy(*segment).agg(per_segment.alias("carried"))
+    carried = land(sums.withColumn("carried", before), "carried")
+    return rows.heavy.join(carried, segment)
 
 
 def _segments_of(rows: Ordered):

@@ -13,13 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatloom.session import ship_package
+from chatloom.session import land, ship_package
 
 
 def long_chat_starts(messages: DataFrame, max_tokens: int) -> DataFrame:
@@ -33,11 +32,12 @@ def long_chat_starts(messages: DataFrame, max_tokens: int) -> DataFrame:
             lambda rows: _edge_outcomes(rows, max_tokens), _outcome_schema(messages)
         )
     )
-    carried = (
+    chained = (
         outcomes.repartition("chat_key", "session")
         .sortWithinPartitions(*piece, "low")
-        .mapInPandas(_chain_pieces, _carried_schema(messages))
+        .mapInArrow(_chain_pieces, _carried_schema(messages))
     )
+    carried = land(chained, "carried")
     schema = T.StructType(
         [*messages.schema.fields, T.StructField("block_start", T.LongType())]
     )
@@ -155,38 +155,48 @@ def _edge_outcomes(rows: pa.Table, max_tokens: int) -> pa.Table:
     return edges
 
 
-def _chain_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chain_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Follow the open block through the pieces of a session, in segment order.
 
     The state is one open block, whatever the number of pieces.
     """
-    piece = open_block = None  # open_block: (tokens, start) after the pieces so far
-    entered = None  # open_block at the entry of the current piece
+    session = segment = None
+    open_tokens = open_start = None  # the open block after the pieces so far
+    entry_tokens = entry_start = None  # the open block at the entry of this piece
     for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            key = (row.chat_key, row.session)
-            if piece != (key, row.segment):
-                if piece is None or piece[0] != key:
-                    open_block = None
-                piece, entered = (key, row.segment), open_block
-                if entered is not None:
-                    out.append((*key, row.segment, *entered))
-            tokens, start = (None, None) if entered is None else entered
-            # With nothing open the first message starts a block, which is the
-            # outcome for an overfull block: the one without upper end.
-            applies = (
-                pd.isna(row.high)
-                if tokens is None
-                else row.low <= tokens and (pd.isna(row.high) or tokens <= row.high)
-            )
-            if applies:
-                if pd.isna(row.last_start):
-                    open_block = (tokens + row.tokens, start)
+        entries = []
+        for row in batch.to_pylist():
+            if session != (row["chat_key"], row["session"]):
+                session, segment = (row["chat_key"], row["session"]), None
+                open_tokens = open_start = None
+            if segment != row["segment"]:
+                segment, entry_tokens, entry_start = row["segment"], open_tokens, open_start
+                if entry_tokens is not None:
+                    entries.append((*session, segment, entry_tokens, entry_start))
+            if _applies(row, entry_tokens):
+                if row["last_start"] is None:
+                    open_tokens, open_start = entry_tokens + row["tokens"], entry_start
                 else:
-                    open_block = (row.tokens, int(row.last_start))
-        columns = ["chat_key", "session", "segment", "open_tokens", "open_start"]
-        yield pd.DataFrame(out, columns=columns)
+                    open_tokens, open_start = row["tokens"], row["last_start"]
+        kinds = [batch.schema.field(c).type for c in ("chat_key", "session", "segment")]
+        columns = zip(*entries) if entries else [()] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, [*kinds, pa.int64(), pa.int64()])],
+            ["chat_key", "session", "segment", "open_tokens", "open_start"],
+        )
+
+
+def _applies(row: dict, entry_tokens: int | None) -> bool:
+    """Whether an outcome is the one for the tokens held at the entry.
+
+    With nothing open the first message starts a block, as it does when the open
+    block is overfull: that is the outcome without upper end.
+    """
+    if entry_tokens is None:
+        return row["high"] is None
+    return row["low"] <= entry_tokens and (
+        row["high"] is None or entry_tokens <= row["high"]
+    )
 
 
 def _mark_starts(rows: pa.Table, max_tokens: int) -> pa.Table:

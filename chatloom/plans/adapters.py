@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.functions.text import iso_format
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,7 +39,7 @@ def chat_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("role") == "assistant", "Me")
         .when(F.col("role") == "user", contact)
         .alias("from"),
-        F.date_format(sent, "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        iso_format(sent).alias("date"),
         F.array(
             entity(F.substring(body, 1, 10)), entity(F.substr(body, F.lit(11)))
         ).alias("text_entities"),

@@ -14,7 +14,7 @@ from chatloom.operators import blocks as bl
 from chatloom.operators import stats
 from chatloom.operators.messages import usable_messages
 from chatloom.operators.turns import reviewed_blocks
-from chatloom.session import scratch_path
+from chatloom.session import land
 from chatloom.sinks import runs
 from chatloom.sources.exports import export_messages
 
@@ -38,13 +38,6 @@ def prepare_chats(raw: DataFrame, cfg: PrepConfig, counter=DEFAULT_COUNTER) -> D
     return reviewed_blocks(blocks, cfg, counter)
 
 
-def land(df: DataFrame, purpose: str) -> DataFrame:
-    """Write rows to the shared scratch folder once and read them from there."""
-    path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def land_messages(chats: DataFrame) -> DataFrame:
     """Messages of VARIANT chats as Parquet, with ``ts`` parsed for pushdown."""
     messages = export_messages(chats)

@@ -18,13 +18,7 @@ from chatloom.operators import blocks as bl
 from chatloom.operators import dialogue, ledger, messages, ordering, stats, training
 from chatloom.operators import turns as tn
 from chatloom.plans import adapters as ad
-from chatloom.plans.prepare import (
-    land,
-    land_messages,
-    message_blocks,
-    prepare_chats,
-    write_run,
-)
+from chatloom.plans.prepare import message_blocks, prepare_chats, write_run
 from chatloom.session import scratch_path
 from chatloom.sinks import runs
 from chatloom.sources import exports, records
@@ -54,17 +48,15 @@ def query(function):
 # Building stones ------------------------------------------------------------
 
 
-def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.usable_messages(ad.chat_raw(spark, sf_dir), CFG)
-
-
 def in_order(spark: SparkSession, sf_dir: str) -> ordering.Ordered:
     raw = ad.chat_raw(spark, sf_dir)
-    return bl.chronological(usable(spark, sf_dir), CFG.rows_per_segment, raw)
+    usable = messages.usable_messages(raw, CFG)
+    return bl.chronological(usable, CFG.rows_per_segment, raw)
 
 
 def pass_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return message_blocks(usable(spark, sf_dir), CFG, ad.chat_raw(spark, sf_dir))
+    raw = ad.chat_raw(spark, sf_dir)
+    return message_blocks(messages.usable_messages(raw, CFG), CFG, raw)
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +78,8 @@ def training_records(spark: SparkSession, sf_dir: str, cfg: PrepConfig = CFG) ->
 def seconds(ts: str | Column) -> Column:
     """Whole seconds since 1970 as BIGINT."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
+    epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    return F.floor(tx.micros_between(epoch, ts) / 1_000_000)
 
 
 def flat_turns(blocks: DataFrame) -> DataFrame:

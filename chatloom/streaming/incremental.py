@@ -13,8 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chatloom.config import PrepConfig
 from chatloom.functions.tokens import DEFAULT_COUNTER
-from chatloom.operators.ledger import COMPLETED, FAILED, PREP, new_submissions
-from chatloom.plans.prepare import land, land_messages, prepare_chats, write_outputs
+from chatloom.operators.ledger import COMPLETED, FAILED, PREP, unknown_runs
+from chatloom.plans.prepare import land_messages, prepare_chats, write_outputs
+from chatloom.session import land
 from chatloom.sources import exports
 
 LEDGER = (
@@ -30,14 +31,17 @@ def start_incremental(
     checkpoint: str,
     cfg: PrepConfig,
     counter=DEFAULT_COUNTER,
+    files_per_batch: int = 100_000,
 ) -> StreamingQuery:
     """Process what has landed since the last call, then stop.
 
-    Outputs go to ``<out>/runs``, the ledger to ``<out>/ledger``.
+    Outputs go to ``<out>/runs``, the ledger to ``<out>/ledger``. All new files
+    are processed, in batches of at most ``files_per_batch``.
     """
     submissions = (
         spark.readStream.format("text")
         .schema("value string")
+        .option("maxFilesPerTrigger", files_per_batch)
         .option("wholetext", True)
         .option("recursiveFileLookup", True)
         .load(landing)
@@ -67,7 +71,8 @@ def process_batch(
     spark = batch.sparkSession
     ledger_path = f"{out}/ledger"
     earlier = read_ledger(spark, out).filter(F.col("batch") < batch_id)
-    fresh = new_submissions(batch, earlier, ["created_at", "source"])
+    # A file is listed once per batch, so its run_id cannot repeat inside it.
+    fresh = unknown_runs(batch, earlier)
     documents = exports.parse_documents(land(fresh, "submissions"))
 
     chats = exports.read_exports(documents).select("run_id", "chat_key", "name", "type", "chat")
