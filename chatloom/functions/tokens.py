@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.session import ship_package
+
 # Fixed value: a token is a run of ASCII word characters or one other visible
 # character. The class \w is twice as fast as the same class spelled out.
 TOKEN_PATTERN = r"\w+|[^\w \t\n\r]"
@@ -43,6 +45,7 @@ class TokenizerCounter:
 
     def of_text(self, text: Column) -> Column:
         load, extra = self.load, self.per_message_overhead
+        ship_package(SparkSession.active())
 
         @F.pandas_udf("bigint")
         def count(texts: pd.Series) -> pd.Series:
@@ -53,6 +56,7 @@ class TokenizerCounter:
 
     def of_texts(self, texts: Column) -> Column:
         load, extra = self.load, self.per_message_overhead
+        ship_package(SparkSession.active())
 
         @F.pandas_udf("array<bigint>")
         def count(lists: pd.Series) -> pd.Series:
