@@ -45,7 +45,7 @@ class PrepConfig:
     trim_sender: bool = False
     # A chat with more messages than this is cut into ordered segments of about
     # this many rows, so that no task ever holds a whole giant chat.
-    rows_per_segment: int = 250_000
+    rows_per_segment: int = 100_000
     # Clock reading against which a future date limit is recognised.
     now: datetime = field(default_factory=datetime.now)
 

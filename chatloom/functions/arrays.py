@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,31 +31,53 @@ def run_starts(items: Column, field: str) -> Column:
     return F.filter(marked, lambda i: i.isNotNull())
 
 
-def budget_starts(items: Column, field: str, limit: int) -> Column:
-    """Start positions of greedy groups whose ``field`` sums stay within ``limit``.
+def block_starts(messages: Column, gap_seconds: int, max_tokens: int) -> Column:
+    """Starts of sessions and token-bounded blocks in the messages of one chat.
 
-    An element joins the open group while the sum does not exceed the limit and
-    opens a new group otherwise.
+    Gives ``array<struct<at, session>>``: 0-based position of each block's first
+    message and the number of its session. A message joins the open block when it
+    follows within the gap and the token sum stays within the maximum.
     """
+    longest = F.lit(timedelta(seconds=gap_seconds))
     opened = F.struct(
-        F.lit(0).cast("bigint").alias("total"),
+        F.lit(None).cast("timestamp_ntz").alias("last"),
+        F.lit(0).cast("bigint").alias("held"),
         F.lit(0).alias("seen"),
-        F.array().cast("array<int>").alias("starts"),
+        F.lit(-1).cast("bigint").alias("session"),
+        F.array().cast("array<struct<at:int,session:bigint>>").alias("starts"),
     )
 
-    def step(acc: Column, item: Column) -> Column:
-        fits = (acc["seen"] > 0) & (acc["total"] + item[field] <= limit)
+    def step(acc: Column, m: Column) -> Column:
+        close = F.coalesce(m["ts"] - acc["last"] <= longest, F.lit(False))
+        fits = close & (acc["held"] + m["n_tokens"] <= max_tokens)
+        session = F.when(close, acc["session"]).otherwise(acc["session"] + 1)
+        start = F.struct(acc["seen"].alias("at"), session.alias("session"))
         return F.struct(
-            F.when(fits, acc["total"] + item[field]).otherwise(item[field]).alias("total"),
+            m["ts"].alias("last"),
+            F.when(fits, acc["held"] + m["n_tokens"]).otherwise(m["n_tokens"]).alias("held"),
             (acc["seen"] + 1).alias("seen"),
+            session.alias("session"),
             F.when(fits, acc["starts"])
-            .otherwise(F.array_append(acc["starts"], acc["seen"]))
+            .otherwise(F.array_append(acc["starts"], start))
             .alias("starts"),
         )
 
-    folded = F.aggregate(items, opened, step, lambda acc: acc["starts"])
-    whole = F.array(F.lit(0))
-    return F.when(total(items, field) <= limit, whole).otherwise(folded)
+    return F.aggregate(messages, opened, step, lambda acc: acc["starts"])
+
+
+def cut_blocks(messages: Column, starts: Column) -> Column:
+    """``array<struct<session, messages>>`` for the starts of ``block_starts``."""
+    return F.transform(
+        starts,
+        lambda start, i: F.struct(
+            start["session"].alias("session"),
+            F.slice(
+                messages,
+                start["at"] + 1,
+                F.coalesce(F.get(starts, i + 1)["at"], F.size(messages)) - start["at"],
+            ).alias("messages"),
+        ),
+    )
 
 
 def total(items: Column, field: str) -> Column:

@@ -12,25 +12,20 @@ DECIMAL = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 NOT_LITERAL = r"(^|[\[,\s])(true|false|null)($|[\],\s])"
 
 
-def typed_value(value: Column) -> dict[str, Column]:
-    """Columns ``kind`` and ``value_*``; tried as bool, int, float, list, string."""
-    listed = F.when(
+def listed_value(value: Column) -> Column:
+    """Elements of a bracketed list as strings, NULL for anything else."""
+    return F.when(
         value.startswith("[") & value.endswith("]") & ~value.rlike(NOT_LITERAL),
         F.from_json(value, "array<string>"),
     )
-    lower = F.lower(value)
-    kind = (
-        F.when(lower.isin("true", "false"), "bool")
+
+
+def value_kind(value: Column, listed: Column) -> Column:
+    """First fitting kind of bool, int, float, list and str."""
+    return (
+        F.when(F.lower(value).isin("true", "false"), "bool")
         .when(value.rlike(INTEGER), "int")
         .when(value.rlike(DECIMAL), "float")
         .when(listed.isNotNull(), "list")
         .otherwise("str")
     )
-    return {
-        "kind": kind,
-        "value_bool": F.when(kind == "bool", lower == "true"),
-        "value_long": F.when(kind == "int", value.try_cast("bigint")),
-        "value_double": F.when(kind == "float", value.try_cast("double")),
-        "value_list": F.when(kind == "list", listed),
-        "value_str": F.when(kind == "str", value),
-    }

@@ -58,41 +58,41 @@ def time_sessions(rows: Ordered, gap_seconds: int) -> Ordered:
     )
 
 
-def token_blocks(sessions: Ordered, max_tokens: int) -> DataFrame:
+def token_blocks(rows: Ordered, gap_seconds: int, max_tokens: int) -> DataFrame:
     """One row per block with its ordered messages.
 
     Columns: chat columns, ``session``, ``block_start`` (position of the first
     message, which identifies the block within its chat), ``part`` (segment of
     the first message, 0 for ordinary chats), ``messages``, ``n_tokens``.
     """
-    blocks = _blocks_of_whole_sessions(sessions.light, max_tokens)
-    if sessions.heavy is not None:
+    blocks = _blocks_of_whole_chats(rows.light, gap_seconds, max_tokens)
+    if rows.heavy is not None:
+        sessions = time_sessions(rows, gap_seconds)
         starts = long_chat_starts(sessions.heavy, max_tokens)
         blocks = blocks.unionByName(_blocks_by_start(starts))
     return blocks.withColumn("n_tokens", arrays.total(F.col("messages"), "n_tokens"))
 
 
-def _blocks_of_whole_sessions(messages: DataFrame, max_tokens: int) -> DataFrame:
-    """Light chats: fold each session array, then cut it. No further shuffle."""
+def _blocks_of_whole_chats(
+    messages: DataFrame, gap_seconds: int, max_tokens: int
+) -> DataFrame:
+    """Light chats: one shuffle collects a chat, one fold finds all its blocks.
+
+    This needs neither windows nor further sorts; the row limit of light chats
+    bounds the arrays.
+    """
     chat = _present(messages, CHAT_COLUMNS)
-    return (
-        messages.groupBy(*chat, "session")
-        .agg(_ordered_messages(messages))
-        .withColumn(
-            "starts", arrays.budget_starts(F.col("messages"), "n_tokens", max_tokens)
-        )
-        .select(
-            *chat,
-            "session",
-            F.explode(arrays.cut(F.col("messages"), F.col("starts"))).alias("messages"),
-        )
-        .select(
-            *chat,
-            "session",
-            F.col("messages")[0]["pos"].alias("block_start"),
-            F.lit(0).alias("part"),
-            "messages",
-        )
+    collected = messages.groupBy(*chat).agg(_ordered_messages(messages))
+    starts = arrays.block_starts(F.col("messages"), gap_seconds, max_tokens)
+    blocks = collected.withColumn("starts", starts).select(
+        *chat, F.inline(arrays.cut_blocks(F.col("messages"), F.col("starts")))
+    )
+    return blocks.select(
+        *chat,
+        "session",
+        F.col("messages")[0]["pos"].alias("block_start"),
+        F.lit(0).alias("part"),
+        "messages",
     )
 
 

@@ -60,8 +60,18 @@ def check_length(
 
 
 def typed_metadata(entries: DataFrame) -> DataFrame:
-    """Typed columns for (key, value) rows."""
-    return entries.withColumns(metadata.typed_value(F.col("value")))
+    """Add ``kind`` and one ``value_*`` column per kind to (key, value) rows."""
+    value, kind = F.col("value"), F.col("kind")
+    listed = entries.withColumn("value_list", metadata.listed_value(value))
+    typed = listed.withColumn("kind", metadata.value_kind(value, F.col("value_list")))
+    return typed.withColumns(
+        {
+            "value_bool": F.when(kind == "bool", F.lower(value) == "true"),
+            "value_long": F.when(kind == "int", value.try_cast("bigint")),
+            "value_double": F.when(kind == "float", value.try_cast("double")),
+            "value_str": F.when(kind == "str", value),
+        }
+    )
 
 
 def map_batches(records: DataFrame, make_text) -> DataFrame:

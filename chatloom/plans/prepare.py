@@ -25,14 +25,13 @@ def message_blocks(
     """All pass-1 blocks of usable messages, with verdict."""
     low, high = cfg.token_limits
     rows = bl.chronological(messages, cfg.rows_per_segment, raw)
-    sessions = bl.time_sessions(rows, cfg.gap_seconds)
-    return bl.with_verdict(bl.token_blocks(sessions, high), low, high)
+    return bl.with_verdict(bl.token_blocks(rows, cfg.gap_seconds, high), low, high)
 
 
 def prepare_chats(raw: DataFrame, cfg: PrepConfig, counter=DEFAULT_COUNTER) -> DataFrame:
     """Raw messages to pass-1 blocks with ``verdict`` and pass-2 ``outcome``.
 
-    One shuffle by chat carries messages through sessions, blocks and turns.
+    One shuffle by chat carries ordinary chats through sessions, blocks and turns.
     """
     blocks = message_blocks(usable_messages(raw, cfg, counter), cfg, raw)
     return reviewed_blocks(blocks, cfg, counter)
@@ -75,7 +74,9 @@ def write_run(
     return totals
 
 
-def write_outputs(reviewed: DataFrame, bases: Sequence[str]) -> None:
+def write_outputs(
+    reviewed: DataFrame, bases: Sequence[str], many_runs: bool = False
+) -> None:
     """Nested chats and training lines, each under its block's ``run_id``."""
-    runs.write_dataset(runs.processed_lines(reviewed), bases, runs.PROCESSED)
-    runs.write_dataset(runs.train_lines(reviewed), bases, runs.TRAIN)
+    runs.write_dataset(runs.processed_lines(reviewed), bases, runs.PROCESSED, many_runs)
+    runs.write_dataset(runs.train_lines(reviewed), bases, runs.TRAIN, many_runs)

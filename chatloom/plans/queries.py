@@ -279,7 +279,7 @@ def token_blocks(spark, sf_dir):
 @query
 def event_token_blocks(spark, sf_dir):
     rows = bl.chronological(ad.event_messages(spark, sf_dir), CFG.rows_per_segment)
-    blocks = bl.token_blocks(bl.time_sessions(rows, EVENT_GAP), EVENT_MAX)
+    blocks = bl.token_blocks(rows, EVENT_GAP, EVENT_MAX)
     return block_sizes(bl.with_verdict(blocks, EVENT_MIN, EVENT_MAX))
 
 

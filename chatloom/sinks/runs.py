@@ -21,9 +21,17 @@ RAW, PROCESSED, TRAIN = "raw.json", "processed.json", "train.jsonl"
 BREAKDOWN, METADATA = "breakdown.jsonl", "metadata.jsonl"
 
 
-def write_dataset(lines: DataFrame, bases: Sequence[str], dataset: str) -> None:
-    """Write rows of ``run_id`` and ``value`` to every destination."""
+def write_dataset(
+    lines: DataFrame, bases: Sequence[str], dataset: str, many_runs: bool = False
+) -> None:
+    """Write rows of ``run_id`` and ``value`` to every destination.
+
+    Rows of many runs are gathered by run first, so that a run gets few files;
+    rebalancing splits a run that is too large for one task.
+    """
     rows = lines.select("value", "run_id", F.lit(dataset).alias("data"))
+    if many_runs:
+        rows = rows.hint("rebalance", "run_id")
     for base in bases:
         (
             rows.write.mode("overwrite")

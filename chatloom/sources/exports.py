@@ -51,11 +51,11 @@ def with_chats(documents: DataFrame) -> DataFrame:
     doc = F.col("document")
     listed = F.try_variant_get(doc, "$", VARIANTS)
     exported = F.try_variant_get(doc, "$.chats.list", VARIANTS)
-    chats = (
-        F.when(listed.isNotNull(), F.filter(listed, _is_chat))
-        .when(exported.isNotNull(), exported)
-        .when(_is_chat(doc), F.array(doc))
-        .when(doc.isNotNull(), F.array().cast(VARIANTS))
+    chats = F.coalesce(
+        F.filter(listed, _is_chat),
+        exported,
+        F.when(_is_chat(doc), F.array(doc)),
+        F.when(doc.isNotNull(), F.array().cast(VARIANTS)),
     )
     return documents.withColumn("chats", chats)
 

@@ -76,9 +76,8 @@ def process_batch(
     documents = exports.parse_documents(land(fresh, "submissions"))
 
     chats = exports.read_exports(documents).select("run_id", "chat_key", "name", "type", "chat")
-    write_outputs(
-        land(prepare_chats(land_messages(chats), cfg, counter), "blocks"), [f"{out}/runs"]
-    )
+    reviewed = land(prepare_chats(land_messages(chats), cfg, counter), "blocks")
+    write_outputs(reviewed, [f"{out}/runs"], many_runs=True)
 
     status = F.col("status")
     done = exports.export_file_report(documents).select(

@@ -16,7 +16,7 @@ from models import MESSAGE, message, sequential_blocks
 def spark_blocks(spark, rows, gap, max_tokens, rows_per_segment):
     frame = spark.createDataFrame(rows, MESSAGE)
     ordered = bl.chronological(frame, rows_per_segment)
-    blocks = bl.token_blocks(bl.time_sessions(ordered, gap), max_tokens)
+    blocks = bl.token_blocks(ordered, gap, max_tokens)
     found = blocks.select(
         "chat_key", "session", "block_start", F.explode("messages.pos").alias("pos")
     ).collect()
@@ -73,6 +73,15 @@ def test_documented_edges(spark):
     }
 
 
+@pytest.mark.parametrize("rows_per_segment", [10_000, 30])
+def test_sessions_of_windows_and_blocks_agree(spark, rows_per_segment):
+    rows = random_chats(3)
+    ordered = bl.chronological(spark.createDataFrame(rows, MESSAGE), rows_per_segment)
+    found = bl.time_sessions(ordered, 10).union().collect()
+    model = sequential_blocks(rows, 10, 30)
+    assert {(r.chat_key, r.pos): r.session for r in found} == {k: v[0] for k, v in model.items()}
+
+
 def test_verdict_limits_are_inclusive(spark):
     sizes = [(0, 9), (1, 10), (2, 30), (3, 31)]
     frame = spark.createDataFrame(sizes, "i int, n_tokens bigint")
@@ -82,8 +91,7 @@ def test_verdict_limits_are_inclusive(spark):
 
 def test_no_messages(spark):
     frame = spark.createDataFrame([], MESSAGE)
-    rows = bl.time_sessions(bl.chronological(frame, 100), 10)
-    assert bl.token_blocks(rows, 30).count() == 0
+    assert bl.token_blocks(bl.chronological(frame, 100), 10, 30).count() == 0
 
 
 @settings(max_examples=200, deadline=None)
