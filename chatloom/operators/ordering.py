@@ -82,7 +82,7 @@ def order_rows(
     if not found.n:
         return Ordered(df, None, keys, order)
 
-    heavy_keys = sizes.select(*keys)
+    heavy_keys = land(sizes.select(*keys), "heavy-keys")
     if found.n <= BROADCAST_KEYS:
         heavy_keys = F.broadcast(heavy_keys)
     heavy = (

@@ -59,8 +59,13 @@ def check_length(
     )
 
 
-def typed_metadata(entries: DataFrame) -> DataFrame:
-    """Add ``kind`` and one ``value_*`` column per kind to (key, value) rows."""
+def typed_metadata(entries: DataFrame, key_prefix: str = "") -> DataFrame:
+    """Add ``kind`` and one ``value_*`` column per kind to (key, value) rows.
+
+    With a prefix only the keys that start with it are read.
+    """
+    if key_prefix:
+        entries = entries.filter(F.col("key").startswith(key_prefix))
     value, kind = F.col("value"), F.col("kind")
     listed = entries.withColumn("value_list", metadata.listed_value(value))
     typed = listed.withColumn("kind", metadata.value_kind(value, F.col("value_list")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.config import FineTuneConfig, PrepConfig
@@ -16,7 +16,12 @@ from chatloom.operators.messages import usable_messages
 from chatloom.operators.turns import reviewed_blocks
 from chatloom.session import land
 from chatloom.sinks import runs
-from chatloom.sources.exports import export_messages
+from chatloom.sources.exports import (
+    export_messages,
+    read_documents,
+    read_export_dir,
+    read_exports,
+)
 
 
 def message_blocks(
@@ -43,6 +48,26 @@ def land_messages(chats: DataFrame) -> DataFrame:
     return land(messages.withColumn("ts", parse_timestamp(F.col("date"))), "messages")
 
 
+def prepare_export(
+    spark: SparkSession,
+    path: str,
+    bases: Sequence[str],
+    run_id: str,
+    cfg: PrepConfig,
+    fine_tune: FineTuneConfig = FineTuneConfig(),
+    counter=DEFAULT_COUNTER,
+    one_chat_per_file: bool = False,
+) -> DataFrame:
+    """A whole run from exported files; an input without any chat is an error."""
+    if one_chat_per_file:
+        chats = read_export_dir(spark, path)
+    else:
+        chats = read_exports(read_documents(spark, path))
+    if chats.isEmpty():
+        raise ValueError(f"no valid chats in {path}")
+    return write_run(chats, bases, run_id, cfg, fine_tune, counter)
+
+
 def write_run(
     chats: DataFrame,
     bases: Sequence[str],

@@ -7,6 +7,7 @@ of the ledger and does not stop the others.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -94,8 +95,9 @@ def process_batch(
 
 def read_ledger(spark: SparkSession, out: str) -> DataFrame:
     """All ledger rows so far; empty before the first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/ledger")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
+    try:
+        return spark.read.schema(LEDGER).parquet(f"{out}/ledger")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(f"{out}/ledger")

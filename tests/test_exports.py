@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatloom.config import PrepConfig
 from chatloom.operators import training
-from chatloom.plans.prepare import write_run
+from chatloom.plans.prepare import prepare_export, write_run
 from chatloom.sinks import runs
 from chatloom.sources import exports, records
 from chatloom.streaming import incremental
@@ -111,6 +111,18 @@ def test_run_is_written_to_every_destination_and_read_back(spark, landing, tmp_p
         assert runs.metadata_map(metadata).first().metadata["target_name"] == "Me"
 
 
+def test_input_without_chats_is_an_error(spark, landing, tmp_path):
+    with pytest.raises(ValueError):
+        prepare_export(spark, f"{landing}/broken.json", [str(tmp_path / "out")], "a" * 32, CFG)
+
+
+def test_directory_mode_takes_every_parsed_file_as_a_chat(spark, landing, tmp_path):
+    out = str(tmp_path / "out")
+    totals = prepare_export(spark, landing, [out], "a" * 32, CFG, one_chat_per_file=True)
+    assert totals.first().num_blocks == 1  # only "single" has a name and a type
+    assert spark.read.text(runs.dataset_path(out, "a" * 32, runs.RAW)).count() == len(DOCUMENTS)
+
+
 def test_system_turn_has_a_null_timestamp(spark, landing, tmp_path):
     chats = exports.read_exports(exports.read_documents(spark, landing))
     cfg = PrepConfig("Me", min_tokens=0, max_tokens=500, system_prompt="Be kind.")
