@@ -31,9 +31,9 @@ def normalize_text(text: Column) -> Column:
 
 def message_text(entities: Column, sticker: Column) -> Column:
     """Entity texts in order, followed by the sticker emoji."""
-    texts = F.transform(entities, lambda e: e["text"])
     return F.concat(
-        F.coalesce(F.array_join(texts, ""), F.lit("")), F.coalesce(sticker, F.lit(""))
+        F.coalesce(F.array_join(entities["text"], ""), F.lit("")),
+        F.coalesce(sticker, F.lit("")),
     )
 
 
@@ -52,9 +52,9 @@ def iso_format(ts: Column) -> Column:
     return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
 
 
-def is_blank(text: Column) -> Column:
-    """True for NULL and for the empty string."""
-    return F.coalesce(text, F.lit("")) == ""
+def is_given(text: Column) -> Column:
+    """Neither NULL nor empty, in a form that a Parquet scan can use."""
+    return text.isNotNull() & (text != "")
 
 
 def micros_between(start: Column, end: Column) -> Column:

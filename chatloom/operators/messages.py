@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chatloom.config import PrepConfig
 from chatloom.functions import text as tx
+from chatloom.functions.arrays import add_once
 from chatloom.functions.tokens import DEFAULT_COUNTER
 
 
@@ -25,7 +26,7 @@ def flatten_messages(chats: DataFrame) -> DataFrame:
 
 
 def has_name() -> Column:
-    return ~tx.is_blank(F.col("name"))
+    return tx.is_given(F.col("name"))
 
 
 def has_type(chat_types: tuple[str, ...]) -> Column:
@@ -33,13 +34,18 @@ def has_type(chat_types: tuple[str, ...]) -> Column:
 
 
 def has_sender() -> Column:
-    return ~tx.is_blank(F.col("from"))
+    return tx.is_given(F.col("from"))
+
+
+def entity_texts() -> Column:
+    """The texts alone, so that a Parquet scan reads nothing else of the entities."""
+    return F.col("text_entities")["text"]
 
 
 def has_text() -> Column:
     """Entities or a sticker: bare media and service notes have neither."""
-    entities = F.coalesce(F.size("text_entities"), F.lit(0))
-    return (entities > 0) | ~tx.is_blank(F.col("sticker_emoji"))
+    entities = F.coalesce(F.array_size(entity_texts()), F.lit(0))
+    return (entities > 0) | tx.is_given(F.col("sticker_emoji"))
 
 
 def named_chats(raw: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def read_fields(raw: DataFrame, cfg: PrepConfig) -> DataFrame:
 
 
 def lacks_entity_text() -> Column:
-    broken = F.exists("text_entities", lambda e: e["text"].isNull())
+    broken = F.exists(entity_texts(), lambda text: text.isNull())
     return F.coalesce(broken, F.lit(False))
 
 
@@ -110,7 +116,8 @@ def usable_messages(raw: DataFrame, cfg: PrepConfig, counter=DEFAULT_COUNTER) ->
     """
     raw = eligible_messages(chats_of_type(named_chats(raw), cfg.chat_types))
     messages = read_fields(raw.filter(~lacks_entity_text()), cfg)
-    messages = nonempty(since(messages.filter(F.col("ts").isNotNull()), cfg.since))
+    messages = since(messages.filter(F.col("ts").isNotNull()), cfg.since)
+    messages = nonempty(add_once(messages, "content", F.col("content")))
     return messages.select(
         *[c for c in ("run_id", "chat_key") if c in messages.columns],
         "name",

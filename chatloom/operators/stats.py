@@ -52,8 +52,10 @@ def _sum(name: str) -> Column:
 
 def duration_micros(turns: Column) -> Column:
     """Time from the first turn after the system turn to the last turn."""
-    first = F.when(turns[0]["role"] == "system", 1).otherwise(0)
-    return micros_between(F.get(turns, first)["ts"], F.element_at(turns, -1)["ts"])
+    # Single fields of the array: a Parquet scan then skips the contents.
+    roles, times = turns["role"], turns["ts"]
+    first = F.when(F.get(roles, F.lit(0)) == "system", 1).otherwise(0)
+    return micros_between(F.get(times, first), F.try_element_at(times, F.lit(-1)))
 
 
 def block_durations(valid: DataFrame) -> DataFrame:
