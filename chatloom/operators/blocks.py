@@ -31,13 +31,17 @@ KEPT, SHORT, LONG = "kept", "short", "long"
 
 
 def chronological(
-    messages: DataFrame, rows_per_segment: int, raw: DataFrame | None = None
+    messages: DataFrame,
+    whole_rows: int,
+    segment_rows: int | None = None,
+    raw: DataFrame | None = None,
 ) -> Ordered:
     """Messages in time order per chat; equal times keep the source order.
 
     Chats are sized by their raw messages if given, without parsing them.
     """
-    return order_rows(messages, ["chat_key"], ["ts", "pos"], rows_per_segment, raw)
+    keys, order = ["chat_key"], ["ts", "pos"]
+    return order_rows(messages, keys, order, whole_rows, segment_rows, raw)
 
 
 def message_gap(rows: Ordered) -> Ordered:

@@ -52,10 +52,10 @@ def newest_first(ledger: DataFrame) -> DataFrame:
     return ledger.orderBy(F.desc("created_at"), "run_id")
 
 
-def queue_position(ledger: DataFrame, rows_per_segment: int) -> DataFrame:
+def queue_position(ledger: DataFrame, whole_rows: int) -> DataFrame:
     """1-based position of queued runs per type, oldest first."""
     queued = ledger.filter(F.col("status") == QUEUED)
-    rows = order_rows(queued, ["type"], ["created_at", "run_id"], rows_per_segment)
+    rows = order_rows(queued, ["type"], ["created_at", "run_id"], whole_rows)
     return add_row_number(rows, "position").union()
 
 

@@ -61,12 +61,14 @@ def order_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    rows_per_segment: int,
+    whole_rows: int,
+    segment_rows: int | None = None,
     counted: DataFrame | None = None,
 ) -> Ordered:
-    """Split rows into light keys and segmented heavy keys.
+    """Split rows into light keys and heavy keys with more than ``whole_rows`` rows.
 
-    ``order`` must be unique within a key. Sizes come from one partially
+    Heavy keys are cut into segments of about ``segment_rows`` rows, which
+    defaults to ``whole_rows``. ``order`` must be unique within a key. Sizes come from one partially
     aggregated count, of which a single row reaches the driver. ``counted`` may
     give rows that are cheaper to scan and hold at least the keys of ``df`` as
     often as ``df`` does.
@@ -76,7 +78,7 @@ def order_rows(
         (df if counted is None else counted)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n_rows"))
-        .filter(F.col("n_rows") > rows_per_segment)
+        .filter(F.col("n_rows") > whole_rows)
     )
     found = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("rows")).first()
     if not found.n:
@@ -87,7 +89,7 @@ def order_rows(
         heavy_keys = F.broadcast(heavy_keys)
     heavy = (
         df.join(heavy_keys, list(keys), "left_semi")
-        .repartitionByRange(math.ceil(found.rows / rows_per_segment), *keys, *order)
+        .repartitionByRange(math.ceil(found.rows / (segment_rows or whole_rows)), *keys, *order)
         .withColumn("segment", F.spark_partition_id())
     )
     light = df.join(heavy_keys, list(keys), "left_anti")

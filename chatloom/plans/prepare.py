@@ -29,7 +29,7 @@ def message_blocks(
 ) -> DataFrame:
     """All pass-1 blocks of usable messages, with verdict."""
     low, high = cfg.token_limits
-    rows = bl.chronological(messages, cfg.rows_per_segment, raw)
+    rows = bl.chronological(messages, cfg.whole_chat_rows, cfg.rows_per_segment, raw)
     return bl.with_verdict(bl.token_blocks(rows, cfg.gap_seconds, high), low, high)
 
 

@@ -51,7 +51,12 @@ def query(function):
 def in_order(spark: SparkSession, sf_dir: str) -> ordering.Ordered:
     raw = ad.chat_raw(spark, sf_dir)
     usable = messages.usable_messages(raw, CFG)
-    return bl.chronological(usable, CFG.rows_per_segment, raw)
+    return bl.chronological(usable, CFG.whole_chat_rows, CFG.rows_per_segment, raw)
+
+
+def event_order(spark: SparkSession, sf_dir: str) -> ordering.Ordered:
+    events = ad.event_messages(spark, sf_dir)
+    return bl.chronological(events, CFG.whole_chat_rows, CFG.rows_per_segment)
 
 
 def pass_one(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +244,7 @@ def message_gap(spark, sf_dir):
 
 @query
 def event_gap(spark, sf_dir):
-    rows = bl.chronological(ad.event_messages(spark, sf_dir), CFG.rows_per_segment)
+    rows = event_order(spark, sf_dir)
     return bl.message_gap(rows).union().select("chat_key", "pos", "gap_seconds")
 
 
@@ -252,7 +257,7 @@ def time_sessions(spark, sf_dir):
 
 @query
 def event_sessions(spark, sf_dir):
-    rows = bl.chronological(ad.event_messages(spark, sf_dir), CFG.rows_per_segment)
+    rows = event_order(spark, sf_dir)
     sessions = bl.time_sessions(rows, EVENT_GAP).union()
     return sessions.groupBy("chat_key", "session").agg(
         F.count(F.lit(1)).alias("n_messages"),
@@ -278,7 +283,7 @@ def token_blocks(spark, sf_dir):
 
 @query
 def event_token_blocks(spark, sf_dir):
-    rows = bl.chronological(ad.event_messages(spark, sf_dir), CFG.rows_per_segment)
+    rows = event_order(spark, sf_dir)
     blocks = bl.token_blocks(rows, EVENT_GAP, EVENT_MAX)
     return block_sizes(bl.with_verdict(blocks, EVENT_MIN, EVENT_MAX))
 

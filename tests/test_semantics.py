@@ -244,7 +244,8 @@ def test_segments_change_no_output(spark):
     rows += [(2, "A", at(0), "q"), (2, "Me", at(1), "a")]
     results = []
     for rows_per_segment in (10_000, 50, 7):
-        cfg = PrepConfig("Me", min_tokens=2, max_tokens=40, rows_per_segment=rows_per_segment)
+        cfg = PrepConfig("Me", min_tokens=2, max_tokens=40, whole_chat_rows=rows_per_segment,
+                         rows_per_segment=rows_per_segment)
         reviewed = prepare_chats(raw(spark, *rows), cfg)
         results.append(
             (

@@ -115,6 +115,9 @@ def test_history_is_the_same_with_segments(spark):
         if limit == 1000:
             row = whole.filter("turn = 4").first()
             assert [len(m.content) for m in row.messages] == [0, 2, 4]
+            short = dialogue.attach_history(history, "role", "text", max_turns=2).union()
+            lengths = {r.turn: r.messages and len(r.messages) for r in short.collect()}
+            assert (lengths[0], lengths[2], lengths[4]) == (1, 2, None)
     assert sizes[0] == sizes[1]
 
 
