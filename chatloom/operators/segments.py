@@ -21,8 +21,15 @@ from pyspark.sql import types as T
 from chatloom.session import land, ship_package
 
 
-def long_chat_starts(messages: DataFrame, max_tokens: int) -> DataFrame:
-    """Add ``block_start`` to segmented messages with sessions and sizes."""
+# Parts of a segment are numbered below this factor.
+PARTS_PER_SEGMENT = 1 << 20
+
+
+def long_chat_starts(messages: DataFrame, max_tokens: int, part_rows: int) -> DataFrame:
+    """Add ``block_start`` and ``part`` to segmented messages with sessions and sizes.
+
+    ``part`` numbers runs of ``part_rows`` messages; it ascends in message order.
+    """
     ship_package(messages.sparkSession)
     piece = ["chat_key", "session", "segment"]
     outcomes = (
@@ -39,12 +46,16 @@ def long_chat_starts(messages: DataFrame, max_tokens: int) -> DataFrame:
     )
     carried = land(chained, "carried")
     schema = T.StructType(
-        [*messages.schema.fields, T.StructField("block_start", T.LongType())]
+        [
+            *messages.schema.fields,
+            T.StructField("block_start", T.LongType()),
+            T.StructField("part", T.LongType()),
+        ]
     )
     return (
         messages.join(carried, piece, "left")
         .groupBy("segment")
-        .applyInArrow(lambda rows: _mark_starts(rows, max_tokens), schema)
+        .applyInArrow(lambda rows: _mark_starts(rows, max_tokens, part_rows), schema)
     )
 
 
@@ -199,7 +210,7 @@ def _applies(row: dict, entry_tokens: int | None) -> bool:
     )
 
 
-def _mark_starts(rows: pa.Table, max_tokens: int) -> pa.Table:
+def _mark_starts(rows: pa.Table, max_tokens: int, part_rows: int) -> pa.Table:
     """Give every message of a segment the position of its block's first message."""
     rows, begins, ends = _in_order(rows)
     tokens, pos = rows["n_tokens"].to_numpy(), rows["pos"].to_numpy()
@@ -213,4 +224,7 @@ def _mark_starts(rows: pa.Table, max_tokens: int) -> pa.Table:
         for first, after in zip(bounds, bounds[1:]):
             block_start[first:after] = pos[first]
     rows = rows.drop_columns(["open_tokens", "open_start"])
-    return rows.append_column("block_start", pa.array(block_start))
+    part = rows["segment"].to_numpy().astype(np.int64) * PARTS_PER_SEGMENT
+    part += np.arange(len(pos)) // part_rows
+    rows = rows.append_column("block_start", pa.array(block_start))
+    return rows.append_column("part", pa.array(part))

@@ -30,7 +30,8 @@ def message_blocks(
     """All pass-1 blocks of usable messages, with verdict."""
     low, high = cfg.token_limits
     rows = bl.chronological(messages, cfg.whole_chat_rows, cfg.rows_per_segment, raw)
-    return bl.with_verdict(bl.token_blocks(rows, cfg.gap_seconds, high), low, high)
+    blocks = bl.token_blocks(rows, cfg.gap_seconds, high, cfg.whole_chat_rows)
+    return bl.with_verdict(blocks, low, high)
 
 
 def prepare_chats(raw: DataFrame, cfg: PrepConfig, counter=DEFAULT_COUNTER) -> DataFrame:

@@ -53,8 +53,8 @@ def raw_lines(chats: DataFrame) -> DataFrame:
 def processed_chats(reviewed: DataFrame) -> DataFrame:
     """One record per kept chat with its valid blocks in order, possibly none.
 
-    A chat cut into row segments yields one record per segment, numbered by
-    ``part``; their ``num_blocks`` add up.
+    A giant chat yields one record per ``part``, in ascending order; their
+    ``num_blocks`` add up.
     """
     turn = lambda t: F.struct(
         iso_format(t["ts"]).alias("timestamp"),

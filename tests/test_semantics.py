@@ -254,7 +254,9 @@ def test_segments_change_no_output(spark):
                 stats.chat_stats(reviewed).collect(),
             )
         )
-        total = runs.processed_chats(reviewed).agg(F.sum("num_blocks").alias("n")).first().n
+        records = runs.processed_chats(reviewed)
+        assert (records.count() == 2) == (rows_per_segment == 10_000)
+        total = records.agg(F.sum("num_blocks").alias("n")).first().n
         assert total == stats.chat_stats(reviewed).first().num_blocks > 0
     assert results[0] == results[1] == results[2]
 
