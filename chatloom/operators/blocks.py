@@ -34,14 +34,14 @@ def chronological(
     messages: DataFrame,
     whole_rows: int,
     segment_rows: int | None = None,
-    raw: DataFrame | None = None,
+    counted: DataFrame | None = None,
 ) -> Ordered:
     """Messages in time order per chat; equal times keep the source order.
 
-    Chats are sized by their raw messages if given, without parsing them.
+    ``counted`` may give a superset of the messages that is cheaper to count.
     """
     keys, order = ["chat_key"], ["ts", "pos"]
-    return order_rows(messages, keys, order, whole_rows, segment_rows, raw)
+    return order_rows(messages, keys, order, whole_rows, segment_rows, counted)
 
 
 def message_gap(rows: Ordered) -> Ordered:

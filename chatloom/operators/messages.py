@@ -108,14 +108,19 @@ def lacks_entity_text() -> Column:
     return F.coalesce(broken, F.lit(False))
 
 
+def candidates(raw: DataFrame, cfg: PrepConfig) -> DataFrame:
+    """Superset of the usable messages that is decided without reading texts."""
+    return chats_of_type(named_chats(raw), cfg.chat_types).filter(has_sender())
+
+
 def usable_messages(raw: DataFrame, cfg: PrepConfig, counter=DEFAULT_COUNTER) -> DataFrame:
     """Messages that take part in blocks, with role, content, time and size.
 
     Plain conjunctive filters come first, so a Parquet scan receives them, and
     texts are sized only for messages that survive.
     """
-    raw = eligible_messages(chats_of_type(named_chats(raw), cfg.chat_types))
-    messages = read_fields(raw.filter(~lacks_entity_text()), cfg)
+    raw = eligible_messages(candidates(raw, cfg)).filter(~lacks_entity_text())
+    messages = read_fields(raw, cfg)
     messages = since(messages.filter(F.col("ts").isNotNull()), cfg.since)
     messages = nonempty(add_once(messages, "content", F.col("content")))
     return messages.select(

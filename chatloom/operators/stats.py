@@ -127,23 +127,36 @@ def top_chats(breakdown: DataFrame, k: int = 10) -> DataFrame:
 
 def top_n_others(breakdown: DataFrame, k: int = 10) -> DataFrame:
     """Top k contacts plus one row for the rest, with percent shares."""
-    top = top_chats(breakdown, k)
-    # All counts minus the top counts: one small row, without a join.
-    rest = (
-        breakdown.select("num_blocks", F.lit(1).alias("n"))
-        .unionByName(top.select((-F.col("num_blocks")).alias("num_blocks"), F.lit(-1).alias("n")))
-        .agg(F.sum("num_blocks").alias("num_blocks"), F.sum("n").alias("n"))
-        .filter(F.col("n") > 0)
+    top = top_chats(breakdown, k).select(
+        "rank", "contact_name", "num_blocks", F.lit(0).cast("bigint").alias("contacts")
+    )
+    everyone = breakdown.agg(
+        F.lit(k + 1).alias("rank"),
+        F.lit(OTHERS).alias("contact_name"),
+        F.sum("num_blocks").alias("num_blocks"),
+        F.count(F.lit(1)).alias("contacts"),
+    )
+    # The window sees k rows and the row of everyone.
+    rows, is_top = Window.partitionBy(), F.col("rank") <= k
+    total = F.max(F.when(~is_top, F.col("num_blocks"))).over(rows)
+    in_top = F.sum(F.when(is_top, F.col("num_blocks"))).over(rows)
+    return (
+        top.unionByName(everyone)
+        .withColumns({"total": total, "in_top": in_top})
+        .filter(is_top | (F.col("contacts") > k))
+        .withColumn(
+            "num_blocks",
+            F.when(is_top, F.col("num_blocks")).otherwise(F.col("total") - F.col("in_top")),
+        )
         .select(
-            F.lit(k + 1).alias("rank"), F.lit(OTHERS).alias("contact_name"), "num_blocks"
+            "rank",
+            "contact_name",
+            "num_blocks",
+            F.try_divide(F.lit(100.0) * F.col("num_blocks"), F.col("total")).alias(
+                "share_percent"
+            ),
         )
     )
-    rows = top.select("rank", "contact_name", "num_blocks").unionByName(rest)
-    # These at most k + 1 rows add up to the total.
-    total = F.sum("num_blocks").over(Window.partitionBy())
-    return rows.withColumn(
-        "share_percent", F.try_divide(F.lit(100.0) * F.col("num_blocks"), total)
-    )
 
 
 def sender_ranking(raw: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from chatloom.functions.text import parse_timestamp
 from chatloom.functions.tokens import DEFAULT_COUNTER
 from chatloom.operators import blocks as bl
 from chatloom.operators import stats
-from chatloom.operators.messages import usable_messages
+from chatloom.operators.messages import candidates, usable_messages
 from chatloom.operators.turns import reviewed_blocks
 from chatloom.session import land
 from chatloom.sinks import runs
@@ -25,11 +25,14 @@ from chatloom.sources.exports import (
 
 
 def message_blocks(
-    messages: DataFrame, cfg: PrepConfig, raw: DataFrame | None = None
+    messages: DataFrame, cfg: PrepConfig, counted: DataFrame | None = None
 ) -> DataFrame:
-    """All pass-1 blocks of usable messages, with verdict."""
+    """All pass-1 blocks of usable messages, with verdict.
+
+    ``counted`` may give a superset of the messages that is cheaper to count.
+    """
     low, high = cfg.token_limits
-    rows = bl.chronological(messages, cfg.whole_chat_rows, cfg.rows_per_segment, raw)
+    rows = bl.chronological(messages, cfg.whole_chat_rows, cfg.rows_per_segment, counted)
     blocks = bl.token_blocks(rows, cfg.gap_seconds, high, cfg.whole_chat_rows)
     return bl.with_verdict(blocks, low, high)
 
@@ -39,7 +42,8 @@ def prepare_chats(raw: DataFrame, cfg: PrepConfig, counter=DEFAULT_COUNTER) -> D
 
     One shuffle by chat carries ordinary chats through sessions, blocks and turns.
     """
-    blocks = message_blocks(usable_messages(raw, cfg, counter), cfg, raw)
+    usable = usable_messages(raw, cfg, counter)
+    blocks = message_blocks(usable, cfg, candidates(raw, cfg))
     return reviewed_blocks(blocks, cfg, counter)
 
 

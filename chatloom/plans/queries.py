@@ -51,7 +51,8 @@ def query(function):
 def in_order(spark: SparkSession, sf_dir: str) -> ordering.Ordered:
     raw = ad.chat_raw(spark, sf_dir)
     usable = messages.usable_messages(raw, CFG)
-    return bl.chronological(usable, CFG.whole_chat_rows, CFG.rows_per_segment, raw)
+    counted = messages.candidates(raw, CFG)
+    return bl.chronological(usable, CFG.whole_chat_rows, CFG.rows_per_segment, counted)
 
 
 def event_order(spark: SparkSession, sf_dir: str) -> ordering.Ordered:
@@ -61,7 +62,8 @@ def event_order(spark: SparkSession, sf_dir: str) -> ordering.Ordered:
 
 def pass_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = ad.chat_raw(spark, sf_dir)
-    return message_blocks(messages.usable_messages(raw, CFG), CFG, raw)
+    usable = messages.usable_messages(raw, CFG)
+    return message_blocks(usable, CFG, messages.candidates(raw, CFG))
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
