@@ -43,9 +43,10 @@ class PrepConfig:
     chat_types: tuple[str, ...] = ("personal_chat",)
     # Also match senders that differ from target_name only by outer whitespace.
     trim_sender: bool = False
-    # A chat up to this many messages is folded as one array. Larger chats are
-    # cut into ordered segments, so that no task ever holds a whole giant chat.
-    whole_chat_rows: int = 50_000
+    # A chat up to this many messages is folded as one array; cutting an array
+    # costs its length per block. Larger chats are cut into ordered segments, so
+    # that no task ever holds a whole giant chat.
+    whole_chat_rows: int = 10_000
     # Rows of one segment, which a task holds as one Arrow table.
     rows_per_segment: int = 1_000_000
     # Clock reading against which a future date limit is recognised.

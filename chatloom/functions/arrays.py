@@ -31,6 +31,10 @@ def run_starts(items: Column, field: str) -> Column:
     return F.filter(marked, lambda i: i.isNotNull())
 
 
+# Starts are gathered in lists of this length, since appending copies a list.
+STARTS_PER_LIST = 256
+
+
 def block_starts(messages: Column, gap_seconds: int, max_tokens: int) -> Column:
     """Starts of sessions and token-bounded blocks in the messages of one chat.
 
@@ -39,12 +43,14 @@ def block_starts(messages: Column, gap_seconds: int, max_tokens: int) -> Column:
     follows within the gap and the token sum stays within the maximum.
     """
     longest = F.lit(timedelta(seconds=gap_seconds))
+    start_type = "struct<at:int,session:bigint>"
     opened = F.struct(
         F.lit(None).cast("timestamp_ntz").alias("last"),
         F.lit(0).cast("bigint").alias("held"),
         F.lit(0).alias("seen"),
         F.lit(-1).cast("bigint").alias("session"),
-        F.array().cast("array<struct<at:int,session:bigint>>").alias("starts"),
+        F.array().cast(f"array<array<{start_type}>>").alias("full"),
+        F.array().cast(f"array<{start_type}>").alias("recent"),
     )
 
     def step(acc: Column, m: Column) -> Column:
@@ -52,17 +58,25 @@ def block_starts(messages: Column, gap_seconds: int, max_tokens: int) -> Column:
         fits = close & (acc["held"] + m["n_tokens"] <= max_tokens)
         session = F.when(close, acc["session"]).otherwise(acc["session"] + 1)
         start = F.struct(acc["seen"].alias("at"), session.alias("session"))
+        is_full = F.size(acc["recent"]) >= STARTS_PER_LIST
         return F.struct(
             m["ts"].alias("last"),
             F.when(fits, acc["held"] + m["n_tokens"]).otherwise(m["n_tokens"]).alias("held"),
             (acc["seen"] + 1).alias("seen"),
             session.alias("session"),
-            F.when(fits, acc["starts"])
-            .otherwise(F.array_append(acc["starts"], start))
-            .alias("starts"),
+            F.when(~fits & is_full, F.array_append(acc["full"], acc["recent"]))
+            .otherwise(acc["full"])
+            .alias("full"),
+            F.when(fits, acc["recent"])
+            .when(is_full, F.array(start))
+            .otherwise(F.array_append(acc["recent"], start))
+            .alias("recent"),
         )
 
-    return F.aggregate(messages, opened, step, lambda acc: acc["starts"])
+    def finish(acc: Column) -> Column:
+        return F.flatten(F.array_append(acc["full"], acc["recent"]))
+
+    return F.aggregate(messages, opened, step, finish)
 
 
 def cut_blocks(messages: Column, starts: Column) -> Column:

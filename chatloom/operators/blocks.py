@@ -63,7 +63,7 @@ def time_sessions(rows: Ordered, gap_seconds: int) -> Ordered:
 
 
 def token_blocks(
-    rows: Ordered, gap_seconds: int, max_tokens: int, part_rows: int = 50_000
+    rows: Ordered, gap_seconds: int, max_tokens: int, part_rows: int = 10_000
 ) -> DataFrame:
     """One row per block with its ordered messages.
 

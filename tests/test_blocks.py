@@ -55,6 +55,13 @@ def test_equal_times_and_one_token_messages_in_one_hot_chat(spark):
     assert found == sequential_blocks(rows, 10, 30)
 
 
+def test_many_blocks_in_one_chat(spark):
+    rows = [message(1, pos, pos, 31 if pos % 3 else 1) for pos in range(1500)]
+    found, ordered = spark_blocks(spark, rows, 10, 30, 10_000)
+    assert ordered.heavy is None
+    assert found == sequential_blocks(rows, 10, 30)
+
+
 def test_documented_edges(spark):
     rows = [
         message(1, 0, 0, 5),
