@@ -4,12 +4,13 @@ The test items form an inverted index whose postings are grouped in blocks of
 items, each with the largest impact of its term. Every passage of every
 document (``PASSAGE`` words, half overlapping, to the end of the text) is a
 query. A passage-item score is the BM25 sum over their common words, divided by
-the item's own threshold (``RETRIEVE`` times the score of the item itself), so
-that one bound, 1, holds for all.
+the item's own threshold (``RETRIEVE`` times the score of the item itself, less for
+items longer than a passage), so that one bound, 1, holds for all.
 
 Pruning is exact: a passage whose sum of largest impacts is below 1 meets
-nothing; of the others, only blocks whose summed block maxima reach 1 are
-scored. All items at or above 1 are retrieved, and each is verified: enough of
+nothing; of the others, a block is a candidate when the passage holds a word
+without which one of its items cannot reach 1, and only blocks whose summed
+block maxima reach 1 are scored. All items at or above 1 are retrieved, and each is verified: enough of
 the item's question and of its answer must stand in the words around the
 passage.
 
@@ -39,11 +40,12 @@ from chatloom.llm.scan import Rolling, Slice, combine, runs, slices
 from chatloom.session import ship_package
 
 PASSAGE = 64
-RETRIEVE = 0.3
+RETRIEVE = 0.4
 K1, B = 1.2, 0.75
 BLOCK = 16
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.6
 GRAM = 3
+TABLE_CELLS = 1 << 22
 INDEX_ITEMS, INDEX_WORDS = 20_000, 2_000_000
 
 # Words are runs of letters and digits in lower case (ASCII); bytes of other
@@ -99,17 +101,26 @@ class Index:
 
     items: list
     words: list  # word count of each item
-    questions: list  # (gram size, distinct gram hashes)
+    questions: list  # (gram size, set of gram hashes)
     answers: list
     terms: np.ndarray  # sorted word hashes
-    first: np.ndarray  # postings of term i: first[i] to first[i + 1]
-    item: np.ndarray
+    term_max: np.ndarray  # largest impact of each term
+    item: np.ndarray  # postings
     impact: np.ndarray
-    block_first: np.ndarray  # blocks of term i
-    block: np.ndarray
+    strong_first: np.ndarray  # of term i: strong_block[strong_first[i] : strong_first[i + 1]]
+    strong_block: np.ndarray  # blocks with an item for which the term is a strong one
+    block_key: np.ndarray  # term * width + block of each entry, ascending
     block_max: np.ndarray
-    block_posting: np.ndarray  # first posting of each block entry, plus the end
-    term_max: np.ndarray
+    block_posting: np.ndarray  # first posting of each entry, plus the end
+    width: int
+    table: np.ndarray | None = None  # entry of every key, where that table is small
+
+    def find_entries(self, key: np.ndarray) -> np.ndarray:
+        """Block entry of each (term, block) key, -1 where there is none."""
+        if self.table is not None:
+            return self.table[key]
+        entry = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+        return np.where(self.block_key[entry] == key, entry, -1)
 
 
 def build_index(items: list[tuple[object, str | None]], retrieve: float = RETRIEVE) -> Index | None:
@@ -134,31 +145,46 @@ def build_index(items: list[tuple[object, str | None]], retrieve: float = RETRIE
     norm = K1 * (1 - B + B * lengths / lengths.mean())
     impact = np.repeat(idf, frequency) * count * (K1 + 1) / (count + norm[owner])
     itself = np.bincount(owner, weights=impact, minlength=len(kept))
-    impact = impact / (retrieve * itself[owner])
+    reachable = np.minimum(1.0, PASSAGE / lengths)
+    impact = impact / (retrieve * itself * reachable)[owner]
+    term_max = np.maximum.reduceat(impact, first[:-1])
     term_of = np.repeat(np.arange(len(terms)), frequency)
-    entry = term_of * (len(kept) // BLOCK + 1) + owner // BLOCK
+    width = len(kept) // BLOCK + 1
+    entry = term_of * width + owner // BLOCK
     starts = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
-    n_blocks = np.bincount(term_of[starts], minlength=len(terms))
+    # The weakest words of an item that cannot reach 1 together name no
+    # candidates: a match holds at least one of the item's other words.
+    order = np.lexsort((impact, owner))
+    sums = np.cumsum(impact[order])
+    before = np.append(0.0, sums)[np.searchsorted(owner[order], owner[order])]
+    strong = order[sums - before >= 1 - 1e-9]
+    strong_key = np.unique(entry[strong])
     split = [split_item(t) for _, t in kept]
 
     def part(text: str):
         ids = _hashes(text)
-        return min(GRAM, max(1, len(ids))), np.unique(grams(ids, GRAM))
+        return min(GRAM, max(1, len(ids))), frozenset(grams(ids, GRAM).tolist())
 
+    table = None
+    if len(terms) * width <= TABLE_CELLS:
+        table = np.full(len(terms) * width, -1, dtype=np.int32)
+        table[entry[starts]] = np.arange(len(starts))
     return Index(
         [k for k, _ in kept],
         [len(h) for h in hashes],
         [part(q) for q, _ in split],
         [part(a) for _, a in split],
         terms,
-        first,
+        term_max,
         owner,
         impact,
-        np.append(0, np.cumsum(n_blocks)),
-        owner[starts] // BLOCK,
+        np.searchsorted(strong_key, np.arange(len(terms) + 1) * width),
+        strong_key % width,
+        entry[starts],
         np.maximum.reduceat(impact, starts),
         np.append(starts, len(owner)),
-        np.maximum.reduceat(impact, first[:-1]),
+        width,
+        table,
     )
 
 
@@ -178,20 +204,29 @@ def retrieve_items(index: Index, term: np.ndarray, starts: np.ndarray, ends: np.
     row, at = _spread(starts[able], (ends - starts)[able])
     known = term[at] >= 0
     n_terms = len(index.terms)
-    query = np.unique(row[known] * n_terms + term[at[known]])
+    query = distinct(row[known] * n_terms + term[at[known]])
     passage, word = query // n_terms, query % n_terms
+    tighter = np.bincount(passage, weights=index.term_max[word], minlength=len(able)) >= 1 - 1e-9
+    passage, word = passage[tighter[passage]], word[tighter[passage]]
 
-    n_blocks = np.diff(index.block_first)
-    q, entry = _spread(index.block_first[word], n_blocks[word])
-    width = int(index.block.max()) + 1 if len(index.block) else 1
-    cell = passage[q] * width + index.block[entry]
-    order = np.argsort(cell, kind="stable")
-    q, entry, cell = q[order], entry[order], cell[order]
-    if not len(cell):
+    if not len(passage):
         return able[:0], able[:0], np.zeros(0)
-    begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-    sums = np.add.reduceat(index.block_max[entry], begin)
-    live = np.repeat(sums >= 1 - 1e-9, np.diff(np.append(begin, len(cell))))
+    n_strong = np.diff(index.strong_first)[word]
+    q, at = _spread(index.strong_first[word], n_strong)
+    cell = distinct(passage[q] * index.width + index.strong_block[at])
+    # Block bounds and scores take all terms of the passage.
+    begin = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+    first_query = np.zeros(len(able), dtype=np.int64)
+    n_query = np.zeros(len(able), dtype=np.int64)
+    first_query[passage[begin]] = begin
+    n_query[passage[begin]] = np.diff(np.append(begin, len(passage)))
+    c, q = _spread(first_query[cell // index.width], n_query[cell // index.width])
+    key = word[q] * index.width + cell[c] % index.width
+    entry = index.find_entries(key)
+    there = entry >= 0
+    c, q, entry = c[there], q[there], entry[there]
+    bounds = np.bincount(c, weights=index.block_max[entry], minlength=len(cell))
+    live = bounds[c] >= 1 - 1e-9
     q, entry = q[live], entry[live]
 
     sizes = np.diff(index.block_posting)
@@ -203,11 +238,19 @@ def retrieve_items(index: Index, term: np.ndarray, starts: np.ndarray, ends: np.
     return able[found[good] // len(index.items)], found[good] % len(index.items), score[good]
 
 
-def overlap(gram: tuple[int, np.ndarray], ids: np.ndarray) -> float:
+def overlap(gram: tuple[int, frozenset], ids: np.ndarray) -> float:
+    """Share of the wanted grams that occur among ``ids``."""
     n, wanted = gram
-    if not len(wanted):
+    if not wanted:
         return 1.0  # an item without an answer is judged by its question
-    return float(np.isin(wanted, grams(ids, n) if len(ids) >= n else ids[:0]).mean())
+    return len(wanted.intersection(grams(ids, n).tolist())) / len(wanted) if len(ids) >= n else 0.0
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
 
 
 def passages(doc: np.ndarray, n_docs: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
