@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from chatloom.llm.decontaminate import op6_decontaminate
 from chatloom.llm.language import op8_language
+from chatloom.llm.lm import op3_lm
 from chatloom.llm.mixing import op9_mixing
 from chatloom.llm.neardup import op5_neardup
+from chatloom.llm.repeats import op2_repeats
 from chatloom.llm.repetition import op7_repetition
 from chatloom.llm.secrets import op1_secrets
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_repeats": op2_repeats,
+    "op3_lm": op3_lm,
     "op5_neardup": op5_neardup,
     "op6_decontaminate": op6_decontaminate,
     "op7_repetition": op7_repetition,
