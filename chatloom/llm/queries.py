@@ -10,11 +10,13 @@ from chatloom.llm.neardup import op5_neardup
 from chatloom.llm.repeats import op2_repeats
 from chatloom.llm.repetition import op7_repetition
 from chatloom.llm.secrets import op1_secrets
+from chatloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_repeats": op2_repeats,
     "op3_lm": op3_lm,
+    "op4_toxicity": op4_toxicity,
     "op5_neardup": op5_neardup,
     "op6_decontaminate": op6_decontaminate,
     "op7_repetition": op7_repetition,
