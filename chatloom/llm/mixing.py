@@ -191,6 +191,6 @@ def mix_report(docs: DataFrame) -> DataFrame:
         .repartitionByRange("rank_key", "doc_id")
         .sortWithinPartitions("rank_key", "doc_id")
     )
-    return ordered.drop("rank_key").select(
-        "doc_id", "size", "source_size", "target", "taken", "position"
+    return ordered.select(
+        "doc_id", "size", "source_size", "target", "taken", F.round("position", 3).alias("position")
     )

@@ -7,6 +7,7 @@ from chatloom.llm.language import op8_language
 from chatloom.llm.lm import op3_lm
 from chatloom.llm.mixing import op9_mixing
 from chatloom.llm.neardup import op5_neardup
+from chatloom.llm.passages import op10_passages
 from chatloom.llm.repeats import op2_repeats
 from chatloom.llm.repetition import op7_repetition
 from chatloom.llm.secrets import op1_secrets
@@ -22,6 +23,61 @@ QUERIES = {
     "op7_repetition": op7_repetition,
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
+    "op10_passages": op10_passages,
 }
 
-SQL: dict[str, str] = {}
+# The mix as plain SQL, with one window per source.
+MIXING = r"""
+WITH sized AS (
+  SELECT doc_id,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS token,
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS source_key
+  FROM documents),
+ranked AS (
+  SELECT source_key, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source_key) - 1 AS rank
+  FROM sized GROUP BY source_key),
+weighed AS (
+  SELECT *, (CASE rank % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS weight,
+         (CASE rank % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0.0 ELSE 0.5 END)::DOUBLE AS slope,
+         (2 * source_size)::DOUBLE AS cap,
+         (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS wanted
+  FROM ranked),
+leveled AS (
+  SELECT *, (wanted - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+            / sum(weight) OVER (ORDER BY cap / weight, rank
+                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+open AS (
+  SELECT level AS open_level FROM leveled WHERE cap > weight * level
+  ORDER BY cap / weight, rank LIMIT 1),
+sources AS (
+  SELECT source_key, source_size, slope,
+         CASE WHEN cap <= weight * level THEN cap
+              ELSE weight * (SELECT open_level FROM open) END AS target
+  FROM leveled),
+totals AS (
+  SELECT sum(target * (1 - slope)) AS linear, sum(target * slope) AS square FROM sources),
+placed AS (
+  SELECT doc_id, size, source_size, target, slope, linear, square,
+         coalesce(sum(size) OVER (PARTITION BY source_key ORDER BY token, size
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS start
+  FROM sized JOIN sources USING (source_key) CROSS JOIN totals),
+taken AS (
+  SELECT *, (start + size / 2.0::DOUBLE) AS middle,
+         (CASE WHEN size > 0 AND start + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END
+          + CASE WHEN size > 0 AND start + source_size + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END) AS times
+  FROM placed),
+timed AS (
+  SELECT *, CASE WHEN slope = 0 THEN middle / target
+                 ELSE (slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * (middle / target)))
+                      / (2 * slope) END AS time
+  FROM taken)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * times)::BIGINT AS taken,
+       CASE WHEN times > 0 THEN round(linear * time + square * time * time, 3) END AS position
+FROM timed
+"""
+
+SQL: dict[str, str] = {"op9_mixing": MIXING}
