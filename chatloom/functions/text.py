@@ -19,6 +19,13 @@ ISO_TIMESTAMP = (
 )
 
 
+# The basic form of the same dates, without separators.
+BASIC_TIMESTAMP = (
+    r"^(\d{4})(\d{2})(\d{2})"
+    r"(?:[T ](\d{2})(?:(\d{2})(?:(\d{2})(\.\d{1,9})?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+)
+
+
 def strip(text: Column) -> Column:
     """Remove whitespace of any kind from both ends."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -39,7 +46,15 @@ def message_text(entities: Column, sticker: Column) -> Column:
 
 def parse_timestamp(text: Column) -> Column:
     """ISO text to TIMESTAMP_NTZ (wall clock, zone suffix ignored), else NULL."""
-    return F.when(text.rlike(ISO_TIMESTAMP), text.try_cast("timestamp_ntz"))
+    part = lambda i: F.regexp_extract(text, BASIC_TIMESTAMP, i)
+    two = lambda i: F.when(part(i) == "", "00").otherwise(part(i))
+    spelled = F.concat(
+        part(1), F.lit("-"), part(2), F.lit("-"), part(3),
+        F.lit("T"), two(4), F.lit(":"), two(5), F.lit(":"), two(6), part(7),
+    )
+    return F.when(text.rlike(ISO_TIMESTAMP), text.try_cast("timestamp_ntz")).when(
+        text.rlike(BASIC_TIMESTAMP), spelled.try_cast("timestamp_ntz")
+    )
 
 
 def iso_format(ts: Column) -> Column:

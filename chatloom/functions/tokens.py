@@ -1,17 +1,16 @@
-"""Token counters: column expressions that size a text."""
+"""Token counters: column expressions that size a text.
+
+Any object with ``of_text`` and ``of_texts`` over columns can take the place of
+the default counter.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatloom.session import ship_package
-
 # Fixed value: a token is a run of ASCII word characters or one other visible
 # character. The class \w is twice as fast as the same class spelled out.
 TOKEN_PATTERN = r"\w+|[^\w \t\n\r]"
@@ -33,76 +32,4 @@ class PatternTokenCounter:
         return F.transform(texts, self.of_text)
 
 
-@dataclass(frozen=True)
-class TokenizerCounter:
-    """Counts with a real tokenizer, loaded once per Python worker.
-
-    ``load`` is called on the workers and returns a text -> token ids function.
-    """
-
-    load: Callable[[], Callable[[str], Sequence]]
-    per_message_overhead: int = 0
-
-    def of_text(self, text: Column) -> Column:
-        load, extra = self.load, self.per_message_overhead
-        ship_package(SparkSession.active())
-
-        @F.pandas_udf("bigint")
-        def count(texts: pd.Series) -> pd.Series:
-            encode = _loaded(load)
-            return texts.map(lambda t: len(encode(t)) + extra, na_action="ignore")
-
-        return count(text)
-
-    def of_texts(self, texts: Column) -> Column:
-        load, extra = self.load, self.per_message_overhead
-        ship_package(SparkSession.active())
-
-        @F.pandas_udf("array<bigint>")
-        def count(lists: pd.Series) -> pd.Series:
-            encode = _loaded(load)
-            return lists.map(
-                lambda ts: [len(encode(t)) + extra for t in ts], na_action="ignore"
-            )
-
-        return count(texts)
-
-
-@lru_cache(maxsize=8)
-def _loaded(load):
-    return load()
-
-
-def model_token_counter(model_name: str, per_message_overhead: int = 0) -> TokenizerCounter:
-    """Counter for a named model, falling back to a generic byte-pair encoding."""
-    for load in (_ModelLoader(model_name), _GenericLoader()):
-        try:
-            load()
-        except Exception:  # missing package, unknown model or no vocabulary
-            continue
-        return TokenizerCounter(load, per_message_overhead)
-    raise RuntimeError("no tokenizer available")
-
-
-@dataclass(frozen=True)
-class _ModelLoader:
-    model_name: str
-
-    def __call__(self):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_pretrained(self.model_name)
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-
-
-@dataclass(frozen=True)
-class _GenericLoader:
-    encoding: str = "o200k_base"
-
-    def __call__(self):
-        import tiktoken
-
-        return tiktoken.get_encoding(self.encoding).encode
-
-
 DEFAULT_COUNTER = PatternTokenCounter()

@@ -62,20 +62,16 @@ def time_sessions(rows: Ordered, gap_seconds: int) -> Ordered:
     )
 
 
-def token_blocks(
-    rows: Ordered, gap_seconds: int, max_tokens: int, part_rows: int = 10_000
-) -> DataFrame:
+def token_blocks(rows: Ordered, gap_seconds: int, max_tokens: int) -> DataFrame:
     """One row per block with its ordered messages.
 
     Columns: chat columns, ``session``, ``block_start`` (position of the first
-    message, which identifies the block within its chat), ``part`` (0 for
-    ordinary chats; numbers the runs of ``part_rows`` messages of a larger chat, by
-    the block's first message), ``messages``, ``n_tokens``.
+    message, which identifies the block within its chat), ``messages``, ``n_tokens``.
     """
     blocks = _blocks_of_whole_chats(rows.light, gap_seconds, max_tokens)
     if rows.heavy is not None:
         sessions = time_sessions(rows, gap_seconds)
-        starts = long_chat_starts(sessions.heavy, max_tokens, part_rows)
+        starts = long_chat_starts(sessions.heavy, max_tokens)
         blocks = blocks.unionByName(_blocks_by_start(starts))
     return blocks.withColumn("n_tokens", arrays.total(F.col("messages"), "n_tokens"))
 
@@ -98,7 +94,6 @@ def _blocks_of_whole_chats(
         *chat,
         "session",
         F.col("messages")[0]["pos"].alias("block_start"),
-        F.lit(0).cast("bigint").alias("part"),
         "messages",
     )
 
@@ -106,9 +101,7 @@ def _blocks_of_whole_chats(
 def _blocks_by_start(messages: DataFrame) -> DataFrame:
     """Heavy chats: the block of each message is known, its size is bounded."""
     chat = _present(messages, CHAT_COLUMNS)
-    return messages.groupBy(*chat, "session", "block_start").agg(
-        F.min("part").alias("part"), _ordered_messages(messages)
-    )
+    return messages.groupBy(*chat, "session", "block_start").agg(_ordered_messages(messages))
 
 
 def _ordered_messages(messages: DataFrame):

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import strip
@@ -53,31 +52,9 @@ def rolling_history(
 ) -> Ordered:
     """Size of the history each turn sends: all turns of the conversation so far.
 
-    Running totals only, linear in the turns whatever the conversation length.
+    The history itself is the first ``history_messages`` turns of the
+    conversation, so that nothing is copied. Running totals only, linear in the turns whatever the conversation length.
     """
     rows = order_rows(turns, [key], [order], whole_rows)
     counted = add_row_number(rows, "history_messages")
     return add_running_sum(counted, F.length(content), "history_chars")
-
-
-def attach_history(
-    history: Ordered, role: str, content: str, max_turns: int = 1000
-) -> Ordered:
-    """Add ``messages``, the history itself, where it has at most ``max_turns`` turns.
-
-    A history is repeated in every later one, so all of them together grow with
-    the square of the conversation. Where ``messages`` is NULL the history is
-    given by ``history_messages``: the first so many turns of the conversation.
-    """
-    window = history.light_window().rowsBetween(1 - max_turns, Window.currentRow)
-    turn = F.struct(F.col(role).alias("role"), F.col(content).alias("content"))
-    within = F.col("history_messages") <= max_turns
-    light = history.light.withColumn(
-        "messages", F.when(within, F.collect_list(turn).over(window))
-    )
-    heavy = history.heavy
-    if heavy is not None:
-        heavy = heavy.withColumn(
-            "messages", F.lit(None).cast("array<struct<role:string,content:string>>")
-        )
-    return replace(history, light=light, heavy=heavy)

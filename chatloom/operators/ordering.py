@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 
 from chatloom.session import land
 
-# A list of heavy keys up to this length is broadcast; a longer one is joined
-# by shuffle. The length is counted before.
-BROADCAST_KEYS = 100_000
-
 
 @dataclass(frozen=True)
 class Ordered:
@@ -85,8 +81,6 @@ def order_rows(
         return Ordered(df, None, keys, order)
 
     heavy_keys = land(sizes.select(*keys), "heavy-keys")
-    if found.n <= BROADCAST_KEYS:
-        heavy_keys = F.broadcast(heavy_keys)
     heavy = (
         df.join(heavy_keys, list(keys), "left_semi")
         .repartitionByRange(math.ceil(found.rows / (segment_rows or whole_rows)), *keys, *order)

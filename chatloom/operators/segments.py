@@ -14,29 +14,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatloom.session import land, ship_package
 
 
-# Parts of a segment are numbered below this factor.
-PARTS_PER_SEGMENT = 1 << 20
+def long_chat_starts(messages: DataFrame, max_tokens: int) -> DataFrame:
+    """Add ``block_start`` to segmented messages with sessions and sizes.
 
-
-def long_chat_starts(messages: DataFrame, max_tokens: int, part_rows: int) -> DataFrame:
-    """Add ``block_start`` and ``part`` to segmented messages with sessions and sizes.
-
-    ``part`` numbers runs of ``part_rows`` messages; it ascends in message order.
+    Python sees keys, times and sizes only and returns the messages that start a
+    block; every message then takes the last start before it in the JVM.
     """
     ship_package(messages.sparkSession)
     piece = ["chat_key", "session", "segment"]
-    outcomes = (
-        messages.select(*piece, "ts", "pos", "n_tokens")
-        .groupBy("segment")
-        .applyInArrow(
-            lambda rows: _edge_outcomes(rows, max_tokens), _outcome_schema(messages)
-        )
+    sizes = messages.select(*piece, "ts", "pos", "n_tokens")
+    outcomes = sizes.groupBy("segment").applyInArrow(
+        lambda rows: _edge_outcomes(rows, max_tokens), _outcome_schema(messages)
     )
     chained = (
         outcomes.repartition("chat_key", "session")
@@ -44,17 +39,29 @@ def long_chat_starts(messages: DataFrame, max_tokens: int, part_rows: int) -> Da
         .mapInArrow(_chain_pieces, _carried_schema(messages))
     )
     carried = land(chained, "carried")
-    schema = T.StructType(
-        [
-            *messages.schema.fields,
-            T.StructField("block_start", T.LongType()),
-            T.StructField("part", T.LongType()),
-        ]
+    starts = (
+        sizes.join(carried, piece, "left")
+        .groupBy("segment")
+        .applyInArrow(lambda rows: _mark_starts(rows, max_tokens), _start_schema(messages))
     )
+    marked = starts.withColumn("block_start", F.col("pos"))
+    before = Window.partitionBy(*piece).orderBy("ts", "pos")
+    last_start = F.last("block_start", ignorenulls=True).over(before)
     return (
-        messages.join(carried, piece, "left")
-        .groupBy("segment")
-        .applyInArrow(lambda rows: _mark_starts(rows, max_tokens, part_rows), schema)
+        messages.join(marked, [*piece, "pos"], "left")
+        .join(carried.select(*piece, "open_start"), piece, "left")
+        .withColumn("block_start", F.coalesce(last_start, F.col("open_start")))
+        .drop("open_start")
+    )
+
+
+def _start_schema(messages: DataFrame) -> T.StructType:
+    return (
+        T.StructType()
+        .add("chat_key", messages.schema["chat_key"].dataType)
+        .add("session", T.LongType())
+        .add("segment", T.IntegerType())
+        .add("pos", messages.schema["pos"].dataType)
     )
 
 
@@ -209,21 +216,14 @@ def _applies(row: dict, entry_tokens: int | None) -> bool:
     )
 
 
-def _mark_starts(rows: pa.Table, max_tokens: int, part_rows: int) -> pa.Table:
-    """Give every message of a segment the position of its block's first message."""
+def _mark_starts(rows: pa.Table, max_tokens: int) -> pa.Table:
+    """The messages of a segment that start a block."""
     rows, begins, ends = _in_order(rows)
-    tokens, pos = rows["n_tokens"].to_numpy(), rows["pos"].to_numpy()
-    block_start = np.empty(len(pos), dtype=np.int64)
+    tokens = rows["n_tokens"].to_numpy()
     open_tokens = rows["open_tokens"].take(begins).to_pylist()
-    open_start = rows["open_start"].take(begins).to_pylist()
-    for p, (begin, end) in enumerate(zip(begins, ends)):
-        starts = greedy_starts(tokens[begin:end], max_tokens, open_tokens[p])
-        bounds = [begin + s for s in starts] + [end]
-        block_start[begin : bounds[0]] = -1 if open_start[p] is None else open_start[p]
-        for first, after in zip(bounds, bounds[1:]):
-            block_start[first:after] = pos[first]
-    rows = rows.drop_columns(["open_tokens", "open_start"])
-    part = rows["segment"].to_numpy().astype(np.int64) * PARTS_PER_SEGMENT
-    part += np.arange(len(pos)) // part_rows
-    rows = rows.append_column("block_start", pa.array(block_start))
-    return rows.append_column("part", pa.array(part))
+    at = [
+        int(begin) + start
+        for begin, end, held in zip(begins, ends, open_tokens)
+        for start in greedy_starts(tokens[begin:end], max_tokens, held)
+    ]
+    return rows.select(["chat_key", "session", "segment", "pos"]).take(pa.array(at, pa.int64()))

@@ -6,6 +6,8 @@ sender with very many rows costs no more than any other.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,15 +65,15 @@ def block_durations(valid: DataFrame) -> DataFrame:
     return valid.withColumn("duration_minutes", duration_micros(F.col("turns")) / 6e7)
 
 
-def chat_stats(reviewed: DataFrame) -> DataFrame:
-    """One row of totals over the kept blocks of all chats; NULL without blocks."""
+def chat_stats(reviewed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Totals over the kept blocks of all chats, one row per ``by``; NULL without blocks."""
     is_valid = F.col("outcome").isNull()
     tokens = F.when(is_valid, F.col("n_tokens"))
     micros = F.when(is_valid, duration_micros(F.col("turns")))
     per_chat = (
         bl.kept(reviewed)
-        .select("chat_key", tokens.alias("tokens"), micros.alias("micros"))
-        .groupBy("chat_key")
+        .select(*by, "chat_key", tokens.alias("tokens"), micros.alias("micros"))
+        .groupBy(*by, "chat_key")
         .agg(
             F.count("tokens").alias("blocks"),
             F.sum("tokens").alias("tokens"),
@@ -83,7 +85,7 @@ def chat_stats(reviewed: DataFrame) -> DataFrame:
         )
     )
     n = F.sum("blocks")
-    return per_chat.agg(
+    return per_chat.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_chats"),
         F.coalesce(n, F.lit(0)).alias("num_blocks"),
         F.min("min_tokens").alias("min_tokens_per_block"),
@@ -95,18 +97,18 @@ def chat_stats(reviewed: DataFrame) -> DataFrame:
     )
 
 
-def block_breakdown(reviewed: DataFrame) -> DataFrame:
+def block_breakdown(reviewed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Valid blocks per contact, zeros included, in ``first_chat`` order.
 
     Of several chats with one name the last one counts.
     """
     per_chat = (
         bl.kept(reviewed)
-        .groupBy("chat_key", "name")
+        .groupBy(*by, "chat_key", "name")
         .agg(F.count_if(F.col("outcome").isNull()).alias("num_blocks"))
     )
     return (
-        per_chat.groupBy(F.col("name").alias("contact_name"))
+        per_chat.groupBy(*by, F.col("name").alias("contact_name"))
         .agg(
             F.max_by("num_blocks", "chat_key").alias("num_blocks"),
             F.min("chat_key").alias("first_chat"),

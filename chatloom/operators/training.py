@@ -73,21 +73,11 @@ def typed_metadata(entries: DataFrame, key_prefix: str = "") -> DataFrame:
         {
             "value_bool": F.when(kind == "bool", F.lower(value) == "true"),
             "value_long": F.when(kind == "int", value.try_cast("bigint")),
+            # Integers beyond 64 bits keep their digits.
+            "value_big": F.when(
+                (kind == "int") & value.try_cast("bigint").isNull(), value.try_cast("decimal(38,0)")
+            ),
             "value_double": F.when(kind == "float", value.try_cast("double")),
             "value_str": F.when(kind == "str", value),
         }
     )
-
-
-def map_batches(records: DataFrame, make_text) -> DataFrame:
-    """Add ``text`` from a Python function over batches of message lists.
-
-    For templates that exist only as Python code; named templates render
-    without Python.
-    """
-
-    @F.pandas_udf("string")
-    def text(messages):
-        return make_text(messages)
-
-    return records.withColumn("text", text(F.to_json("messages")))

@@ -79,25 +79,16 @@ def status_of(event_type):
     )
 
 
-# Rows that one exported document holds at most: conversations times turns.
-DOCUMENT_CONVERSATIONS, DOCUMENT_TURNS = 50, 4
+# Conversations that one exported document holds at most.
+DOCUMENT_CONVERSATIONS = 5
 
 
 def export_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw chats with message arrays: four turns of a conversation are one chat.
-
-    The bound keeps every array small, however long the conversation is. The
-    pause before turn 4 falls on a chat border, so blocks are the same.
-    """
+    """Raw chats with message arrays: a conversation is a chat, as in a JSON file."""
     raw = chat_raw(spark, sf_dir)
     message = F.struct("pos", "from", "date", "text_entities", "sticker_emoji")
     return (
-        raw.groupBy(
-            "chat_key",
-            F.floor(F.col("pos") / (10000 * DOCUMENT_TURNS)).alias("part"),
-            "name",
-            "type",
-        )
+        raw.groupBy("chat_key", "name", "type")
         .agg(F.array_sort(F.collect_list(message)).alias("messages"))
         .withColumn("messages", F.transform("messages", lambda m: m.dropFields("pos")))
     )
@@ -111,16 +102,15 @@ def write_exports(
     Every fourth document can be broken, and every fourth without chats.
     """
     chat = F.struct("name", "type", "messages")
-    doc = F.floor(F.col("chat_key") / DOCUMENT_CONVERSATIONS) * 10 + F.col("part")
+    doc = F.floor(F.col("chat_key") / DOCUMENT_CONVERSATIONS)
     listed = F.to_json("chats", {"ignoreNullFields": "false"})
     text = F.when(F.col("doc") % 2 == 0, listed).otherwise(
         F.concat(F.lit('{"about": "me", "chats": {"list": '), listed, F.lit("}}"))
     )
     if with_bad_files:
-        number = F.floor(F.col("doc") / 10) * 2 + F.col("doc") % 10
         text = (
-            F.when(number % 4 == 3, F.concat(F.lit("{"), text))
-            .when(number % 4 == 2, F.lit('{"other": 1}'))
+            F.when(F.col("doc") % 4 == 3, F.concat(F.lit("{"), text))
+            .when(F.col("doc") % 4 == 2, F.lit('{"other": 1}'))
             .otherwise(text)
         )
     (
@@ -140,9 +130,8 @@ def write_chat_files(spark: SparkSession, sf_dir: str, path: str) -> None:
         export_chats(spark, sf_dir)
         .select(
             "chat_key",
-            "part",
             F.to_json(chat, {"ignoreNullFields": "false"}).alias("value"),
         )
-        .write.partitionBy("chat_key", "part")
+        .write.partitionBy("chat_key")
         .text(path)
     )

@@ -290,22 +290,19 @@ SPANS = f"""
 # Exported documents ---------------------------------------------------------
 
 DOCS = """
-parts AS (
-  SELECT DISTINCT conv_id, turn // 4 AS part FROM conversations),
 docs AS (
-  SELECT (conv_id // 50) * 10 + part AS doc, (conv_id // 50) * 2 + part AS number,
-         count(*) AS n_chats
-  FROM parts GROUP BY ALL),
+  SELECT conv_id // 5 AS doc, count(DISTINCT conv_id) AS n_chats
+  FROM conversations GROUP BY ALL),
 verdicts AS (
-  SELECT doc, CASE number % 4 WHEN 3 THEN 'unparseable' WHEN 2 THEN 'no valid chats'
+  SELECT doc, CASE doc % 4 WHEN 3 THEN 'unparseable' WHEN 2 THEN 'no valid chats'
                 ELSE 'ok' END AS status,
-         CASE WHEN number % 4 >= 2 THEN 0 ELSE n_chats END AS n_chats
+         CASE WHEN doc % 4 >= 2 THEN 0 ELSE n_chats END AS n_chats
   FROM docs)"""
 
 CHAT_SIZES = """
 chat_sizes AS (
   SELECT name, type, count(*) AS n_messages
-  FROM chat_raw GROUP BY chat_key, pos // 40000, name, type)"""
+  FROM chat_raw GROUP BY chat_key, name, type)"""
 
 STATS = """
 stats AS (
@@ -378,8 +375,7 @@ KIND = """CASE WHEN lower(value) IN ('true', 'false') THEN 'bool'
 SQL: dict[str, str] = {
     # Messages
     "flatten_messages": from_raw(f"""
-  SELECT chat_key, pos // 40000 AS part,
-         row_number() OVER (PARTITION BY chat_key, pos // 40000 ORDER BY chat_raw.pos) - 1 AS pos,
+  SELECT chat_key, row_number() OVER (PARTITION BY chat_key ORDER BY chat_raw.pos) - 1 AS pos,
          sender AS "from", {DATE} AS date, body FROM chat_raw"""),
     "message_text": from_raw("SELECT chat_key, pos, body FROM chat_raw"),
     "normalize_text": f"SELECT doc_id, {normal('text')} AS content FROM documents",
@@ -674,8 +670,8 @@ SQL: dict[str, str] = {
         f"""
   SELECT '{RUN_ID}' AS run_id, dataset, n_lines FROM (
     SELECT 'raw.json' AS dataset, (SELECT sum(n_chats) FROM docs)::BIGINT AS n_lines
-    UNION ALL SELECT 'processed.json', count(DISTINCT (chat_key, block_start // 40000))
-      FROM reviewed
+    UNION ALL SELECT 'processed.json', sum(greatest(1, n_valid))::BIGINT
+      FROM (SELECT count(*) FILTER (outcome = 'valid') AS n_valid FROM reviewed GROUP BY chat_key)
     UNION ALL SELECT 'train.jsonl', count(*) FROM reviewed WHERE outcome = 'valid'
     UNION ALL SELECT 'breakdown.jsonl', count(DISTINCT name) FROM reviewed
     UNION ALL SELECT 'metadata.jsonl', {len(METADATA) + len(STAT_NAMES)})""",

@@ -14,10 +14,12 @@ from chatloom.operators import blocks as bl
 from chatloom.operators import stats
 from chatloom.operators.messages import candidates, usable_messages
 from chatloom.operators.turns import reviewed_blocks
-from chatloom.session import land
+from chatloom.session import land, scratch_scope
 from chatloom.sinks import runs
 from chatloom.sources.exports import (
+    export_file_report,
     export_messages,
+    oversized_files,
     read_documents,
     read_export_dir,
     read_exports,
@@ -33,7 +35,7 @@ def message_blocks(
     """
     low, high = cfg.token_limits
     rows = bl.chronological(messages, cfg.whole_chat_rows, cfg.rows_per_segment, counted)
-    blocks = bl.token_blocks(rows, cfg.gap_seconds, high, cfg.whole_chat_rows)
+    blocks = bl.token_blocks(rows, cfg.gap_seconds, high)
     return bl.with_verdict(blocks, low, high)
 
 
@@ -48,7 +50,7 @@ def prepare_chats(raw: DataFrame, cfg: PrepConfig, counter=DEFAULT_COUNTER) -> D
 
 
 def land_messages(chats: DataFrame) -> DataFrame:
-    """Messages of VARIANT chats as Parquet, with ``ts`` parsed for pushdown."""
+    """Messages of chat texts as Parquet, with ``ts`` parsed for pushdown."""
     messages = export_messages(chats)
     return land(messages.withColumn("ts", parse_timestamp(F.col("date"))), "messages")
 
@@ -63,14 +65,31 @@ def prepare_export(
     counter=DEFAULT_COUNTER,
     one_chat_per_file: bool = False,
 ) -> DataFrame:
-    """A whole run from exported files; an input without any chat is an error."""
-    if one_chat_per_file:
-        chats = read_export_dir(spark, path)
-    else:
-        chats = read_exports(read_documents(spark, path))
-    if chats.isEmpty():
-        raise ValueError(f"no valid chats in {path}")
-    return write_run(chats, bases, run_id, cfg, fine_tune, counter)
+    """A whole run from exported files; an input without any chat is an error.
+
+    The verdict of every file is written as one more dataset of the run, so that
+    files without chats leave a trace.
+    """
+    with scratch_scope(spark):
+        if one_chat_per_file:
+            chats = read_export_dir(spark, path)
+            report = None
+        else:
+            documents = read_documents(spark, path)
+            chats = read_exports(documents)
+            columns = ["source", "status", "n_chats"]
+            report = export_file_report(documents).select(columns).union(
+                oversized_files(spark, path).select(columns)
+            )
+        chats = land(chats, "chats")
+        if chats.isEmpty():
+            raise ValueError(f"no valid chats in {path}")
+        if report is not None:
+            lines = report.select(
+                F.lit(run_id).alias("run_id"), F.to_json(F.struct(*columns)).alias("value")
+            )
+            runs.write_dataset(lines, bases, runs.FILES)
+        return _write_landed(chats, bases, run_id, cfg, fine_tune, counter)
 
 
 def write_run(
@@ -83,30 +102,47 @@ def write_run(
 ) -> DataFrame:
     """Prepare chats and write every dataset of the run; returns the stats row.
 
-    Messages and reviewed blocks are landed as Parquet, since several outputs
-    read them.
+    Documents are parsed once: the chats, their messages and the reviewed blocks
+    are landed as Parquet for the outputs that read them, and deleted at the end.
     """
+    with scratch_scope(chats.sparkSession):
+        return _write_landed(land(chats, "chats"), bases, run_id, cfg, fine_tune, counter)
+
+
+def _write_landed(chats, bases, run_id, cfg, fine_tune, counter) -> DataFrame:
+    spark = chats.sparkSession
     chats = chats.withColumn("run_id", F.lit(run_id))
     runs.write_dataset(runs.raw_lines(chats), bases, runs.RAW)
     reviewed = land(prepare_chats(land_messages(chats), cfg, counter), "blocks")
-    write_outputs(reviewed, bases)
+    write_outputs(reviewed, bases, cfg)
     totals = stats.chat_stats(reviewed)
-    metadata = runs.run_metadata(totals, run_id, cfg, fine_tune)
-    lines = metadata.select(
-        F.lit(run_id).alias("run_id"), F.to_json(F.struct("key", "value")).alias("value")
-    )
-    runs.write_dataset(lines, bases, runs.METADATA)
-    breakdown = stats.block_breakdown(reviewed).select(
-        F.lit(run_id).alias("run_id"),
-        F.to_json(F.struct("contact_name", "num_blocks")).alias("value"),
-    )
-    runs.write_dataset(breakdown, bases, runs.BREAKDOWN)
+    totals = spark.createDataFrame(totals.collect(), totals.schema)  # one row
+    write_descriptions(totals.withColumn("run_id", F.lit(run_id)), reviewed, bases, cfg, fine_tune)
     return totals
 
 
 def write_outputs(
-    reviewed: DataFrame, bases: Sequence[str], many_runs: bool = False
+    reviewed: DataFrame, bases: Sequence[str], cfg: PrepConfig, many_runs: bool = False
 ) -> None:
-    """Nested chats and training lines, each under its block's ``run_id``."""
-    runs.write_dataset(runs.processed_lines(reviewed), bases, runs.PROCESSED, many_runs)
+    """Processed blocks and training lines, each under its block's ``run_id``."""
+    lines = runs.processed_lines(reviewed, cfg.whole_chat_rows)
+    runs.write_dataset(lines, bases, runs.PROCESSED, many_runs)
     runs.write_dataset(runs.train_lines(reviewed), bases, runs.TRAIN, many_runs)
+
+
+def write_descriptions(
+    totals: DataFrame,
+    reviewed: DataFrame,
+    bases: Sequence[str],
+    cfg: PrepConfig,
+    fine_tune: FineTuneConfig,
+    many_runs: bool = False,
+) -> None:
+    """Metadata and block breakdown of every run in ``totals`` (with ``run_id``)."""
+    metadata = runs.run_metadata(totals, None, cfg, fine_tune)
+    lines = metadata.select("run_id", F.to_json(F.struct("key", "value")).alias("value"))
+    runs.write_dataset(lines, bases, runs.METADATA, many_runs)
+    breakdown = stats.block_breakdown(reviewed, ["run_id"]).select(
+        "run_id", F.to_json(F.struct("contact_name", "num_blocks")).alias("value")
+    )
+    runs.write_dataset(breakdown, bases, runs.BREAKDOWN, many_runs)

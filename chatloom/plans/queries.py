@@ -110,7 +110,7 @@ def body_text() -> Column:
 @query
 def flatten_messages(spark, sf_dir):
     flat = messages.flatten_messages(ad.export_chats(spark, sf_dir))
-    return flat.select("chat_key", "part", "pos", "from", "date", body_text().alias("body"))
+    return flat.select("chat_key", "pos", "from", "date", body_text().alias("body"))
 
 
 @query
@@ -360,21 +360,17 @@ def flat_messages(blocks: DataFrame) -> DataFrame:
 
 @query
 def processed_chats(spark, sf_dir):
-    chats = runs.processed_chats(reviewed(spark, sf_dir))
-    return (
-        chats.select("*", F.posexplode_outer("blocks").alias("block_no", "block"))
-        .select("*", F.posexplode_outer("block.messages").alias("turn_no", "turn"))
-        .select(
-            "chat_key",
-            "contact_name",
-            "chat_type",
-            F.col("num_blocks").cast("bigint").alias("num_blocks"),
-            F.col("block_no").cast("bigint").alias("block_no"),
-            F.col("turn_no").cast("bigint").alias("turn_no"),
-            "turn.timestamp",
-            "turn.role",
-            "turn.content",
-        )
+    rows = runs.processed_blocks(reviewed(spark, sf_dir), CFG.whole_chat_rows)
+    return rows.select("*", F.posexplode_outer("messages").alias("turn_no", "turn")).select(
+        "chat_key",
+        "contact_name",
+        "chat_type",
+        "num_blocks",
+        "block_no",
+        F.col("turn_no").cast("bigint").alias("turn_no"),
+        "turn.timestamp",
+        "turn.role",
+        "turn.content",
     )
 
 
@@ -706,7 +702,7 @@ def read_export_dir(spark, sf_dir):
     path = scratch_path(spark, "chats")
     ad.write_chat_files(spark, sf_dir, path)
     chats = exports.read_export_dir(spark, path, glob="*.txt")
-    n = F.size(F.try_variant_get("chat", "$.messages", exports.VARIANTS))
+    n = exports.n_messages("chat")
     return chats.select("name", "type", n.cast("bigint").alias("n_messages"))
 
 
@@ -727,13 +723,11 @@ def export_file_report(spark, sf_dir):
 def write_raw(spark, sf_dir):
     base = written_run(spark, sf_dir)
     lines = spark.read.text(runs.dataset_path(base, RUN_ID, runs.RAW))
-    chat = F.parse_json("value")
+    chat = F.from_json("value", "name string, type string, messages array<string>")
     return lines.select(
-        F.variant_get(chat, "$.name", "string").alias("name"),
-        F.variant_get(chat, "$.type", "string").alias("type"),
-        F.size(F.variant_get(chat, "$.messages", exports.VARIANTS))
-        .cast("bigint")
-        .alias("n_messages"),
+        chat["name"].alias("name"),
+        chat["type"].alias("type"),
+        F.size(chat["messages"]).cast("bigint").alias("n_messages"),
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +46,28 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir()
 
 
+# Folders landed inside the open scopes, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what is landed inside; nothing lazy may outlive the scope."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            store.delete(folder, True)
+
+
 def land(df: DataFrame, purpose: str) -> DataFrame:
     """Write rows to the shared scratch folder once and read them from there."""
     path = scratch_path(df.sparkSession, purpose)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

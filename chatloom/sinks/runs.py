@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from chatloom.config import FineTuneConfig, PrepConfig
 from chatloom.functions.text import iso_format
 from chatloom.operators import blocks as bl
+from chatloom.operators.ordering import add_row_number, order_rows
 from chatloom.operators.turns import training_records, valid_blocks
 
+FILES = "files.jsonl"
 RAW, PROCESSED, TRAIN = "raw.json", "processed.json", "train.jsonl"
 BREAKDOWN, METADATA = "breakdown.jsonl", "metadata.jsonl"
 
@@ -47,14 +49,16 @@ def dataset_path(base: str, run_id: str, dataset: str) -> str:
 
 def raw_lines(chats: DataFrame) -> DataFrame:
     """The accepted raw chats before any filter, one per line."""
-    return chats.select("run_id", F.to_json("chat").alias("value"))
+    return chats.select("run_id", F.col("chat").alias("value"))
 
 
-def processed_chats(reviewed: DataFrame) -> DataFrame:
-    """One record per kept chat with its valid blocks in order, possibly none.
+def processed_blocks(reviewed: DataFrame, whole_rows: int = 10_000) -> DataFrame:
+    """One row per valid block of every kept chat, in the same form at any chat size.
 
-    A giant chat yields one record per ``part``, in ascending order; their
-    ``num_blocks`` add up.
+    Columns: ``chat_key, contact_name, chat_type``, ``num_blocks`` of the whole
+    chat, ``block_no`` from 0 in time order and ``messages``. A kept chat without
+    valid blocks has one row with 0 blocks and no messages. ``whole_rows`` only
+    decides how blocks are numbered, not what comes out.
     """
     turn = lambda t: F.struct(
         iso_format(t["ts"]).alias("timestamp"),
@@ -62,37 +66,32 @@ def processed_chats(reviewed: DataFrame) -> DataFrame:
         t["content"].alias("content"),
     )
     started = F.filter("turns", lambda t: t["ts"].isNotNull())
-    block = F.struct(
+    keys = [c for c in ("run_id",) if c in reviewed.columns] + ["chat_key"]
+    kept = bl.kept(reviewed)
+    is_valid = F.col("outcome").isNull()
+    valid = kept.filter(is_valid).select(
+        *keys,
         F.get(started, 0)["ts"].alias("ts"),
-        F.col("block_start"),
+        "block_start",
         F.transform("turns", turn).alias("messages"),
     )
-    run = [c for c in ("run_id",) if c in reviewed.columns]
-    return (
-        bl.kept(reviewed)
-        .groupBy(*run, "chat_key", "part", "name", "type")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.when(F.col("outcome").isNull(), block))
-            ).alias("blocks")
-        )
-        .select(
-            *run,
-            "chat_key",
-            "part",
-            F.col("name").alias("contact_name"),
-            F.col("type").alias("chat_type"),
-            F.size("blocks").alias("num_blocks"),
-            F.transform("blocks", lambda b: F.struct(b["messages"].alias("messages"))).alias(
-                "blocks"
-            ),
-        )
+    counted = kept.filter(is_valid).select(*keys)
+    rows = order_rows(valid, keys, ["ts", "block_start"], whole_rows, counted=counted)
+    numbered = add_row_number(rows, "number").union().drop("ts", "block_start")
+    chats = kept.groupBy(*keys, "name", "type").agg(F.count_if(is_valid).alias("num_blocks"))
+    return chats.join(numbered, keys, "left").select(
+        *keys,
+        F.col("name").alias("contact_name"),
+        F.col("type").alias("chat_type"),
+        "num_blocks",
+        (F.col("number") - 1).alias("block_no"),
+        "messages",
     )
 
 
-def processed_lines(reviewed: DataFrame) -> DataFrame:
-    record = F.struct("contact_name", "chat_type", "num_blocks", "part", "blocks")
-    return processed_chats(reviewed).select(
+def processed_lines(reviewed: DataFrame, whole_rows: int = 10_000) -> DataFrame:
+    record = F.struct("contact_name", "chat_type", "num_blocks", "block_no", "messages")
+    return processed_blocks(reviewed, whole_rows).select(
         "run_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("value")
     )
 
@@ -104,13 +103,18 @@ def train_lines(reviewed: DataFrame) -> DataFrame:
 
 
 def run_metadata(
-    stats: DataFrame, run_id: str, cfg: PrepConfig, fine_tune: FineTuneConfig
+    stats: DataFrame, run_id: str | None, cfg: PrepConfig, fine_tune: FineTuneConfig
 ) -> DataFrame:
-    """(key, value) rows: options, ``stats_*`` totals and ``ft_*`` parameters."""
+    """(key, value) rows: options, ``stats_*`` totals and ``ft_*`` parameters.
+
+    Without ``run_id`` the totals have one row per run and the result keeps the
+    column ``run_id``.
+    """
     tuning = {
         name: list(value) if isinstance(value, tuple) else value
         for name, value in asdict(fine_tune).items()
     }
+    # The names of the options in the metadata.
     options = {
         "uuid": run_id,
         "model_id": fine_tune.model_name,
@@ -124,7 +128,10 @@ def run_metadata(
     }
     options.update({f"ft_{name}": value for name, value in tuning.items()})
     entries = [
-        F.struct(F.lit(k).alias("key"), F.lit(str(v)).alias("value"))
+        F.struct(
+            F.lit(k).alias("key"),
+            (F.col("run_id") if k == "uuid" and run_id is None else F.lit(str(v))).alias("value"),
+        )
         for k, v in options.items()
     ]
     entries += [
@@ -133,8 +140,10 @@ def run_metadata(
             F.coalesce(F.col(name).cast("string"), F.lit("None")).alias("value"),
         )
         for name in stats.columns
+        if name != "run_id"
     ]
-    return stats.select(F.inline(F.array(*entries)))
+    keys = ["run_id"] if run_id is None else []
+    return stats.select(*keys, F.inline(F.array(*entries)))
 
 
 def metadata_map(entries: DataFrame) -> DataFrame:

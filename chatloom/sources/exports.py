@@ -1,8 +1,10 @@
 """Read messenger exports: JSON documents that hold one or many chats.
 
-A document is a list of chats, an object with ``chats.list``, or one chat. It is
-parsed once into a VARIANT; a JSON document cannot be split, so one file is one
-row, and everything after the first explode is spread by chat.
+A document is a list of chats, an object with ``chats.list``, or one chat. A
+JSON document cannot be split, so one file is one row. It is taken apart level
+by level as JSON text (chats, then messages), which keeps every field and has
+no limit but that of a string; only single messages become VARIANT values.
+Everything after the first explode is spread by chat.
 """
 
 from __future__ import annotations
@@ -12,64 +14,98 @@ from pyspark.sql import functions as F
 
 from chatloom.schema import ENTITY
 
-OK, UNPARSEABLE, NO_CHATS = "ok", "unparseable", "no valid chats"
+OK, UNPARSEABLE, NO_CHATS, TOO_LARGE = "ok", "unparseable", "no valid chats", "too large"
 
-VARIANTS = "array<variant>"
+# A row holds a string of 2 GiB at most; larger files are reported, not read.
+MAX_DOCUMENT_BYTES = 2_000_000_000
+
+TEXTS = "array<string>"
 
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One row per file below ``path``: ``source`` and parsed ``document``."""
+    """One row per readable file below ``path``: ``source`` and its ``document`` text."""
     reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.text(path).select(
-        F.col("_metadata.file_path").alias("source"), "value"
+    files = (
+        reader.text(path)
+        .filter(F.col("_metadata.file_size") <= MAX_DOCUMENT_BYTES)
+        .select(F.col("_metadata.file_path").alias("source"), "value")
     )
     return parse_documents(files)
 
 
+def oversized_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Report rows of the files that ``read_documents`` leaves out for their size."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    large = reader.load(path).filter(F.col("length") > MAX_DOCUMENT_BYTES)
+    return large.select(  # the contents are not read
+        F.col("path").alias("source"), F.lit(TOO_LARGE).alias("status"), F.lit(0).alias("n_chats")
+    )
+
+
 def parse_documents(files: DataFrame) -> DataFrame:
-    """Parse ``value``; a broken file keeps its row with a NULL document."""
+    """Rename ``value`` to ``document``; what it holds is found by ``with_chats``."""
     others = [c for c in files.columns if c != "value"]
-    return files.select(*others, F.try_parse_json("value").alias("document"))
+    return files.select(*others, F.col("value").alias("document"))
 
 
-def _has(item: Column, key: str) -> Column:
-    return F.try_variant_get(item, f"$.{key}", "variant").isNotNull()
+def _first_letter(text: Column) -> Column:
+    return F.substring(F.ltrim(F.substring(text, 1, 1000)), 1, 1)
 
 
-def _is_chat(item: Column) -> Column:
-    return _has(item, "name") & _has(item, "messages")
+def _is_chat(text: Column) -> Column:
+    """Whether a JSON text is an object with the keys of a chat."""
+    keys = F.json_object_keys(text)
+    has = lambda key: F.coalesce(F.array_contains(keys, key), F.lit(False))
+    return has("name") & has("messages")
+
+
+def _compact(text: Column) -> Column:
+    """The JSON text without layout, NULL when it is broken."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), TEXTS)[0]
+
+
+def is_readable(document: Column) -> Column:
+    """Whether the text is one JSON value."""
+    first = _first_letter(document)
+    return (
+        F.when(first == "[", F.from_json(document, TEXTS).isNotNull())
+        .when(first == "{", F.json_object_keys(document).isNotNull())
+        .otherwise(F.try_parse_json(document).isNotNull())
+    )
 
 
 def with_chats(documents: DataFrame) -> DataFrame:
-    """Add ``chats``: the chat objects of each document, NULL when unreadable.
+    """Add ``chats``: JSON texts of the chats of each document, NULL when unreadable.
 
     Lists and single chats need the keys ``name`` and ``messages``; the list
     inside an export object is taken as it is.
     """
     doc = F.col("document")
-    listed = F.try_variant_get(doc, "$", VARIANTS)
-    exported = F.try_variant_get(doc, "$.chats.list", VARIANTS)
-    chats = F.coalesce(
-        F.filter(listed, _is_chat),
-        exported,
-        F.when(_is_chat(doc), F.array(doc)),
-        F.when(doc.isNotNull(), F.array().cast(VARIANTS)),
+    first = _first_letter(doc)
+    none = F.array().cast(TEXTS)
+    exported = F.from_json(doc, "chats struct<list: array<string>>")["chats"]["list"]
+    in_object = F.coalesce(
+        exported, F.when(_is_chat(doc), F.array(_compact(doc))), F.when(is_readable(doc), none)
+    )
+    chats = (
+        F.when(first == "[", F.filter(F.from_json(doc, TEXTS), _is_chat))
+        .when(first == "{", in_object)
+        .when(is_readable(doc), none)
     )
     return documents.withColumn("chats", chats)
 
 
 def export_file_report(documents: DataFrame) -> DataFrame:
     """Verdict and number of chats per file."""
-    n = F.coalesce(F.size("chats"), F.lit(0))
-    status = (
-        F.when(F.col("document").isNull(), UNPARSEABLE)
-        .when(n <= 0, NO_CHATS)
-        .otherwise(OK)
-    )
     others = [c for c in documents.columns if c not in ("document", "chats")]
-    return with_chats(documents).select(
+    sized = with_chats(documents).select(*others, F.size("chats").alias("n"))
+    n = F.coalesce(F.col("n"), F.lit(-1))  # NULL has size -1 or NULL
+    status = F.when(n < 0, UNPARSEABLE).when(n == 0, NO_CHATS).otherwise(OK)
+    return sized.select(
         *others, status.alias("status"), F.greatest(n, F.lit(0)).alias("n_chats")
     )
 
@@ -78,44 +114,46 @@ def read_exports(documents: DataFrame) -> DataFrame:
     """One row per chat of all readable documents.
 
     Columns: those of the files, ``chat_key`` (source and ordinal, sorts in
-    input order), ``name``, ``type`` and the whole ``chat`` as a VARIANT.
+    input order), ``name``, ``type`` and the whole ``chat`` as JSON text.
     """
     others = [c for c in documents.columns if c not in ("document", "chats")]
     chats = with_chats(documents).select(
         *others, F.posexplode("chats").alias("ordinal", "chat")
     )
-    return chats.select(
-        *[c for c in others if c != "source"],
-        F.format_string("%s#%09d", F.col("source"), F.col("ordinal")).alias("chat_key"),
-        _text("chat", "name").alias("name"),
-        _text("chat", "type").alias("type"),
-        "chat",
-    )
+    key = F.format_string("%s#%09d", F.col("source"), F.col("ordinal"))
+    return _named(chats, [c for c in others if c != "source"], key)
 
 
 def read_export_dir(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """One chat per matching file, keyed in name order; broken files are left out."""
     documents = read_documents(spark, path, glob=glob)
-    return documents.filter(F.col("document").isNotNull()).select(
-        F.col("source").alias("chat_key"),
-        _text("document", "name").alias("name"),
-        _text("document", "type").alias("type"),
-        F.col("document").alias("chat"),
-    )
+    chats = documents.select("source", _compact(F.col("document")).alias("chat"))
+    return _named(chats.filter("chat is not null"), [], F.col("source"))
+
+
+def _named(chats: DataFrame, others: list[str], key: Column) -> DataFrame:
+    head = F.from_json("chat", "name string, type string")
+    return chats.select(
+        *others, key.alias("chat_key"), F.inline(F.array(head)), "chat"
+    ).select(*others, "chat_key", "name", "type", "chat")
+
+
+def n_messages(chat: str) -> Column:
+    """Number of messages of a chat, -1 or NULL without a list of messages."""
+    return F.size(F.from_json(chat, "messages array<string>")["messages"])
 
 
 def export_messages(chats: DataFrame) -> DataFrame:
-    """One row per message of VARIANT chats, read field by field.
+    """One row per message of chat texts, read field by field.
 
     A field of the wrong kind becomes NULL in its own message only.
     """
     others = [c for c in chats.columns if c != "chat"]
-    messages = chats.select(
+    texts = chats.select(
         *others,
-        F.posexplode(F.try_variant_get("chat", "$.messages", VARIANTS)).alias(
-            "pos", "message"
-        ),
+        F.posexplode(F.from_json("chat", "messages array<string>")["messages"]).alias("pos", "text"),
     )
+    messages = texts.select(*others, "pos", F.try_parse_json("text").alias("message"))
     return messages.select(
         *others,
         F.col("pos").cast("bigint").alias("pos"),

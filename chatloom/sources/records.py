@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chatloom.schema import TRAINING_RECORD
 
+RUN_FOLDER = "run_id="
+
 
 def read_train_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Training records, one JSON object per line; splittable."""
@@ -14,12 +15,10 @@ def read_train_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_runs(spark: SparkSession, base: str) -> DataFrame:
-    """Sorted distinct run ids below an output folder, from the file listing."""
-    paths = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(base)
-        .select("path")  # the file contents are not read
-    )
-    run_id = F.regexp_extract("path", r"/run_id=([^/]+)/", 1)
-    return paths.select(run_id.alias("run_id")).filter("run_id <> ''").distinct().orderBy("run_id")
+    """Sorted distinct run ids: the first level of an output folder, listed once."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(base)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in store.listStatus(folder) if s.isDirectory()]
+    ids = [(n.removeprefix(RUN_FOLDER),) for n in names if n.startswith(RUN_FOLDER)]
+    return spark.createDataFrame(ids, "run_id string").distinct().orderBy("run_id")

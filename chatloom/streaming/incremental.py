@@ -7,21 +7,34 @@ of the ledger and does not stop the others.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from chatloom.config import PrepConfig
+from chatloom.config import FineTuneConfig, PrepConfig
 from chatloom.functions.tokens import DEFAULT_COUNTER
+from chatloom.operators import stats
 from chatloom.operators.ledger import COMPLETED, FAILED, PREP, unknown_runs
-from chatloom.plans.prepare import land_messages, prepare_chats, write_outputs
-from chatloom.session import land
+from chatloom.plans.prepare import (
+    land_messages,
+    prepare_chats,
+    write_descriptions,
+    write_outputs,
+)
+from chatloom.session import land, scratch_scope
+from chatloom.sinks import runs
 from chatloom.sources import exports
 
 LEDGER = (
     "run_id string, source string, type string, status string, created_at timestamp,"
-    " error string, n_chats int, batch bigint"
+    " error string, n_chats int, num_chats bigint, num_blocks bigint,"
+    " min_tokens_per_block bigint, max_tokens_per_block bigint, avg_tokens_per_block double,"
+    " min_duration_minutes_per_block double, max_duration_minutes_per_block double,"
+    " avg_duration_minutes_per_block double, started_at timestamp, completed_at timestamp,"
+    " batch bigint"
 )
 
 
@@ -66,22 +79,56 @@ def start_incremental(
 
 
 def process_batch(
-    batch: DataFrame, batch_id: int, out: str, cfg: PrepConfig, counter=DEFAULT_COUNTER
+    batch: DataFrame,
+    batch_id: int,
+    out: str,
+    cfg: PrepConfig,
+    counter=DEFAULT_COUNTER,
+    fine_tune: FineTuneConfig = FineTuneConfig(),
 ) -> None:
-    """One plan for all submissions of a batch; repeating it changes nothing."""
+    """One plan for all submissions of a batch; repeating it changes nothing.
+
+    Every run gets the datasets of a batch run. Documents are judged before the
+    shared plan, so that a bad one fails alone; should the shared plan still
+    fail, the documents are tried one by one and only the bad ones fail.
+    """
     spark = batch.sparkSession
-    ledger_path = f"{out}/ledger"
     earlier = read_ledger(spark, out).filter(F.col("batch") < batch_id)
-    # A file is listed once per batch, so its run_id cannot repeat inside it.
-    fresh = unknown_runs(batch, earlier)
-    documents = exports.parse_documents(land(fresh, "submissions"))
+    started = datetime.now()
+    with scratch_scope(spark):
+        # A file is listed once per batch, so its run_id cannot repeat inside it.
+        fresh = land(unknown_runs(batch, earlier), "submissions")
+        documents = exports.parse_documents(fresh)
+        report = land(exports.export_file_report(documents), "reports")
+        try:
+            done = _prepare(documents, report, out, cfg, counter, fine_tune)
+        except Exception:  # one bad document must not stop the stream
+            done = _one_by_one(documents, report, out, cfg, counter, fine_tune)
+        rows = done.withColumns(
+            {"started_at": F.lit(started), "completed_at": F.lit(datetime.now())}
+        )
+        rows.write.mode("overwrite").parquet(f"{out}/ledger/batch={batch_id}")
+
 
+def _prepare(documents, report, out, cfg, counter, fine_tune) -> DataFrame:
+    """Write all datasets of all runs and return their ledger rows."""
+    bases = [f"{out}/runs"]
     chats = exports.read_exports(documents).select("run_id", "chat_key", "name", "type", "chat")
+    chats = land(chats, "chats")
+    runs.write_dataset(runs.raw_lines(chats), bases, runs.RAW, many_runs=True)
     reviewed = land(prepare_chats(land_messages(chats), cfg, counter), "blocks")
-    write_outputs(reviewed, [f"{out}/runs"], many_runs=True)
+    write_outputs(reviewed, bases, cfg, many_runs=True)
+    ok = report.filter(F.col("status") == exports.OK).select("run_id")
+    found = stats.chat_stats(reviewed, ["run_id"])
+    counts = ["num_chats", "num_blocks"]  # a run without kept blocks has zeros
+    totals = land(ok.join(found, "run_id", "left").fillna(0, counts), "totals")
+    write_descriptions(totals, reviewed, bases, cfg, fine_tune, many_runs=True)
+    return _ledger_rows(report).join(totals, "run_id", "left")
 
+
+def _ledger_rows(report: DataFrame) -> DataFrame:
     status = F.col("status")
-    done = exports.export_file_report(documents).select(
+    return report.select(
         "run_id",
         "source",
         F.lit(PREP).alias("type"),
@@ -90,7 +137,22 @@ def process_batch(
         F.when(status != exports.OK, status).alias("error"),
         "n_chats",
     )
-    done.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+
+
+def _one_by_one(documents, report, out, cfg, counter, fine_tune) -> DataFrame:
+    """The slow way after a failure; the ids of one batch pass through the driver."""
+    rows = None
+    for (run_id,) in report.select("run_id").collect():
+        own = F.col("run_id") == run_id
+        try:
+            done = _prepare(documents.filter(own), report.filter(own), out, cfg, counter, fine_tune)
+        except Exception as error:
+            failed = _ledger_rows(report.filter(own)).withColumns(
+                {"status": F.lit(FAILED), "error": F.lit(str(error)[:500])}
+            )
+            done = failed
+        rows = done if rows is None else rows.unionByName(done, allowMissingColumns=True)
+    return rows
 
 
 def read_ledger(spark: SparkSession, out: str) -> DataFrame:

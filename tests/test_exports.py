@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,17 @@ from chatloom.operators import training
 from chatloom.plans.prepare import prepare_export, write_run
 from chatloom.sinks import runs
 from chatloom.sources import exports, records
+from chatloom.plans import oracle
+from chatloom.plans.queries import QUERIES
 from chatloom.streaming import incremental
+from compare import difference
+
+
+def duck_of_folder(folder):
+    connection = duckdb.connect()
+    source = f"{folder}/conversations.parquet/*.parquet"
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{source}'")
+    return connection
 
 
 def says(sender, date, text, **more):
@@ -99,7 +110,7 @@ def test_run_is_written_to_every_destination_and_read_back(spark, landing, tmp_p
         assert [[tuple(m) for m in r.messages] for r in train] == [TURNS] * 3
         line = json.loads(spark.read.text(read(runs.PROCESSED)).first().value)
         assert line["num_blocks"] == 1 and line["contact_name"] == "Alice"
-        assert line["blocks"][0]["messages"][0]["timestamp"] == "2024-01-01T10:00:30"
+        assert line["block_no"] == 0 and line["messages"][0]["timestamp"] == "2024-01-01T10:00:30"
         assert spark.read.text(read(runs.RAW)).count() == 5
         assert [r.run_id for r in records.list_runs(spark, base).collect()] == [run_id]
         metadata = spark.read.schema("key string, value string").json(read(runs.METADATA))
@@ -128,7 +139,7 @@ def test_system_turn_has_a_null_timestamp(spark, landing, tmp_path):
     cfg = PrepConfig("Me", min_tokens=0, max_tokens=500, system_prompt="Be kind.")
     write_run(chats, [str(tmp_path / "out")], "a" * 32, cfg)
     path = runs.dataset_path(str(tmp_path / "out"), "a" * 32, runs.PROCESSED)
-    first = json.loads(spark.read.text(path).first().value)["blocks"][0]["messages"][0]
+    first = json.loads(spark.read.text(path).first().value)["messages"][0]
     assert first == {"timestamp": None, "role": "system", "content": "Be kind."}
 
 
@@ -151,6 +162,61 @@ def test_incremental_runs_process_each_file_once(spark, landing, tmp_path):
     later, n = advance()
     assert n == len(VERDICTS) + 1 and later["later.json"] == ("completed", None)
     assert records.list_runs(spark, f"{out}/runs").count() == 4
+    # Every run has the datasets of a batch run, and its stats in the ledger.
+    found = spark.read.text(f"{out}/runs").groupBy("run_id").agg(F.collect_set("data").alias("data"))
+    wanted = {runs.RAW, runs.PROCESSED, runs.TRAIN, runs.METADATA, runs.BREAKDOWN}
+    assert all(set(r["data"]) == wanted for r in found.collect())
+    done = incremental.read_ledger(spark, out).filter("status = 'completed'").collect()
+    assert {r.num_blocks for r in done} == {1} and all(r.started_at <= r.completed_at for r in done)
+
+
+def test_one_document_that_breaks_the_plan_fails_alone(spark, landing, tmp_path, monkeypatch):
+    out, usual = str(tmp_path / "out"), incremental.prepare_chats
+
+    def fragile(raw, cfg, counter):
+        hit = F.col("from") == "Bad"
+        return usual(raw.withColumn("from", F.when(hit, F.raise_error(F.lit("boom"))).otherwise(F.col("from"))), cfg, counter)
+
+    monkeypatch.setattr(incremental, "prepare_chats", fragile)
+    bad = {**ALICE, "messages": [says("Bad", "2024-01-01T10:00:00", "x")]}
+    (tmp_path / "exports" / "bad.json").write_text(json.dumps(bad), encoding="utf-8")
+    incremental.start_incremental(spark, landing, out, f"{out}/checkpoint", CFG).awaitTermination()
+    rows = {r.source.rsplit("/", 1)[1]: r for r in incremental.read_ledger(spark, out).collect()}
+    assert rows["bad.json"].status == "failed" and "boom" in rows["bad.json"].error
+    assert [rows[f"{n}.json"].status for n in ("list", "object", "single")] == ["completed"] * 3
+
+
+def test_a_large_document_loses_nothing(spark, tmp_path):
+    """One valid document of 150 MB, above the limit of a single VARIANT."""
+    n, text = 15_000, "x" * 10_000
+    message = json.dumps(says("Me", "2024-01-01T10:00:00", text))
+    body = '{"name": "A", "type": "personal_chat", "extra": [1, {"k": null}], "messages": ['
+    (tmp_path / "big.json").write_text(body + ",".join([message] * n) + "]}", encoding="utf-8")
+    documents = exports.read_documents(spark, str(tmp_path))
+    report = exports.export_file_report(documents).first()
+    assert (report.status, report.n_chats) == ("ok", 1)
+    chats = exports.read_exports(documents)
+    sizes = exports.export_messages(chats).select(F.length(F.col("text_entities")[0]["text"]).alias("n"))
+    assert sizes.agg(F.count("n"), F.sum("n")).first() == (n, n * len(text))
+    assert chats.select(F.get_json_object("chat", "$.extra").alias("e")).first().e == '[1,{"k":null}]'
+
+
+def test_broken_tails_are_unparseable(spark):
+    texts = ['[{"name": 1, "messages": []}, {', '{"name": "a", "messages": [', "[1, 2", '"open', "", "{}", "[]"]
+    frame = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "source string, value string")
+    report = exports.export_file_report(exports.parse_documents(frame))
+    found = [r.status for r in report.orderBy("source").collect()]
+    assert found == ["unparseable"] * 5 + ["no valid chats"] * 2
+
+
+@pytest.mark.parametrize("turns", [12, 60])
+def test_long_conversations_stay_whole(spark, tmp_path, turns):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"w{t} " * 30) for c in range(12) for t in range(turns)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    for name in ("flatten_messages", "read_exports", "export_file_report", "write_run_layout", "read_train_jsonl"):
+        connection = duck_of_folder(tmp_path)
+        assert difference(QUERIES[name](spark, str(tmp_path)), oracle.SQL[name], connection) is None, name
 
 
 def test_repeating_a_batch_changes_nothing(spark, landing, tmp_path):

@@ -1,9 +1,11 @@
 """Every registered query against its SQL on DuckDB."""
 
+from dataclasses import replace
+
 import pytest
 
 import __spark_entry__ as contract
-from chatloom.plans import oracle
+from chatloom.plans import oracle, queries
 from chatloom.plans.queries import QUERIES
 from compare import difference, duck
 
@@ -29,3 +31,19 @@ def test_query_equals_sql(spark, connection, name):
 
 def test_entry_counts_kept_blocks(spark):
     assert contract.entry(spark).count() == 12
+
+
+LOW_LIMIT = [
+    "chronological", "message_gap", "time_sessions", "token_blocks", "train_blocks",
+    "processed_chats", "write_run_layout", "read_train_jsonl", "chat_stats", "top_n_others",
+    "sender_ranking", "queue_position", "rolling_history", "event_token_blocks", "block_funnel",
+]
+
+
+@pytest.mark.parametrize("name", [n for n in LOW_LIMIT if n in SQL])
+def test_chat_size_limit_changes_no_output(spark, monkeypatch, name):
+    """Nearly every chat takes the way of giant chats."""
+    folder = "/root/testdata/sf0.001"
+    low = replace(queries.CFG, whole_chat_rows=6, rows_per_segment=6)
+    monkeypatch.setattr(queries, "CFG", low)
+    assert difference(QUERIES[name](spark, folder), SQL[name], duck(folder)) is None

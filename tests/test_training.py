@@ -1,13 +1,10 @@
-"""Templates, response spans, metadata types, dialogue and tokenizers."""
+"""Templates, response spans, metadata types, dialogue and counters."""
 
-import json
-
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from chatloom.functions import templates
-from chatloom.functions.tokens import DEFAULT_COUNTER, TokenizerCounter, model_token_counter
+from chatloom.functions.tokens import DEFAULT_COUNTER
 from chatloom.operators import dialogue, training
 
 RECORD = "id int, messages array<struct<role:string,content:string>>"
@@ -109,16 +106,10 @@ def test_history_is_the_same_with_segments(spark):
     )
     sizes = []
     for limit in (1000, 8):
-        history = dialogue.rolling_history(turns, "conv_id", "turn", "text", limit)
-        whole = dialogue.attach_history(history, "role", "text").union()
-        sizes.append(sorted((r.turn, r.history_messages, r.history_chars) for r in whole.collect()))
-        if limit == 1000:
-            row = whole.filter("turn = 4").first()
-            assert [len(m.content) for m in row.messages] == [0, 2, 4]
-            short = dialogue.attach_history(history, "role", "text", max_turns=2).union()
-            lengths = {r.turn: r.messages and len(r.messages) for r in short.collect()}
-            assert (lengths[0], lengths[2], lengths[4]) == (1, 2, None)
+        history = dialogue.rolling_history(turns, "conv_id", "turn", "text", limit).union()
+        sizes.append(sorted((r.turn, r.history_messages, r.history_chars) for r in history.collect()))
     assert sizes[0] == sizes[1]
+    assert [r[1] for r in sizes[0][:4]] == [1, 1, 2, 2] and len(sizes[0]) == 60
 
 
 def test_request_rules(spark):
@@ -144,26 +135,17 @@ def test_default_counter(spark):
     assert counts == [n for _, n in texts]
 
 
-def test_real_tokenizer_counts_texts_and_lists(spark):
-    def load():
-        return str.split
-
-    counter = TokenizerCounter(load, per_message_overhead=1)
-    frame = spark.createDataFrame([("a b c", ["a", "b c"]), (None, None)], "t string, l array<string>")
-    rows = frame.select(counter.of_text(F.col("t")).alias("n"), counter.of_texts(F.col("l")).alias("m")).collect()
-    assert [tuple(r) for r in rows] == [(4, [2, 3]), (None, None)]
-
-
-def test_missing_tokenizers_are_an_error():
-    with pytest.raises(RuntimeError):
-        model_token_counter("no/such-model")
-
+def test_any_column_counter_fits(talk):
+    class WordCounter:
+        def of_text(self, text):
+            return F.size(F.split(text, " ")).cast("bigint")
 
-def test_python_templates_run_on_batches(talk):
-    def joined(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda m: "|".join(t["content"] for t in json.loads(m)))
+        def of_texts(self, texts):
+            return F.transform(texts, self.of_text)
 
-    assert training.map_batches(talk, joined).first().text == "S|U1|A1|U2|A2"
+    rendered = talk.select("id", F.lit("a b c").alias("text"))
+    row = training.check_length(rendered, 2, WordCounter()).first()
+    assert (row.n_text_tokens, row.over_limit) == (3, True)
 
 
 def test_every_model_has_a_template():
