@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from chatloom.functions.templates import MARKER_RULES, MODEL_TEMPLATES
-from chatloom.functions.text import ISO_TIMESTAMP, WHITESPACE
-from chatloom.functions.tokens import TOKEN_PATTERN
 from chatloom.plans.queries import CFG, EVENT_GAP, EVENT_MAX, EVENT_MIN, RUN_ID
 
 MIN, MAX = CFG.token_limits
 
 
+# The oracle states the rules on its own and takes none from the engine.
+TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r]"
+BLANKS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+ISO_DATE = (
+    "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    "([T ][0-9]{2}(:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?$"
+)
+
+
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 def tokens(text: str) -> str:
-    return f"len(regexp_extract_all({text}, '{TOKEN_PATTERN}'))::BIGINT"
+    return f"len(regexp_extract_all({text}, '{TOKEN}'))::BIGINT"
 
 
 def normal(text: str) -> str:
-    return f"replace(trim({text}, {lit(WHITESPACE)}), chr(10), ' ')"
+    return f"replace(trim({text}, {lit(BLANKS)}), chr(10), ' ')"
 
 
 def secs(ts: str) -> str:
@@ -66,7 +75,7 @@ dirty AS (
            ELSE body END AS body
   FROM chat_raw),
 parsed AS (
-  SELECT *, CASE WHEN regexp_matches(date, '{ISO_TIMESTAMP}')
+  SELECT *, CASE WHEN regexp_matches(date, '{ISO_DATE}')
                  THEN try_cast(left(date, 19) AS TIMESTAMP) END AS ts,
          {normal('body')} AS content
   FROM dirty)"""
@@ -249,14 +258,18 @@ def rendered(turn: str) -> str:
     return f"string_agg({turn}, '' ORDER BY turn_no)"
 
 
-def marker_case(position: int) -> str:
-    rules = []
-    for text, model_counts, *markers in MARKER_RULES:
-        applies = f"contains(template, {lit(text)})"
-        if model_counts:
-            applies += f" OR contains(model, {lit(text)})"
-        rules.append(f"WHEN {applies} THEN {lit(markers[position])}")
-    return "CASE " + " ".join(rules) + " ELSE 'none' END"
+def marker_case(side: str) -> str:
+    """Marker in front of the ``user`` or the ``assistant`` side of a template."""
+    gemma = {"user": "user", "assistant": "model"}[side]
+    head = f"'<|start_header_id|>{side}<|end_header_id|>'"
+    return f"""CASE
+      WHEN contains(template, 'chatml') THEN '<|im_start|>{side}' || chr(10)
+      WHEN contains(template, 'llama-3-8b') OR contains(model, 'llama-3-8b') THEN {head}
+      WHEN contains(template, 'llama') OR contains(model, 'llama')
+        THEN {head} || chr(10) || chr(10)
+      WHEN contains(template, 'gemma') OR contains(model, 'gemma')
+        THEN '<start_of_turn>{gemma}' || chr(10)
+      ELSE 'none' END"""
 
 
 MODELS = """
@@ -266,9 +279,9 @@ choices AS (
            WHEN 0 THEN 'unsloth/Meta-Llama-3.1-8B-Instruct-unsloth-bnb-4bit'
            WHEN 1 THEN 'unsloth/Llama-3.2-3B-Instruct-unsloth-bnb-4bit'
            WHEN 2 THEN 'unsloth/llama-3-8b-Instruct-bnb-4bit'
-           WHEN 3 THEN 'unsloth/gemma-3-4b-it-unsloth-bnb-4bit'
-           WHEN 4 THEN 'unsloth/mistral-7b-instruct-v0.3'
-           ELSE 'unsloth/Llama-3.2-1B-Instruct-bnb-4bit' END AS model,
+           WHEN 3 THEN 'tests/small-gemma-chat'
+           WHEN 4 THEN 'tests/plain-chat'
+           ELSE 'tests/tiny-llama-chat' END AS model,
          CASE event_id % 5 WHEN 0 THEN 'chatml' WHEN 1 THEN 'llama-3.2'
            WHEN 2 THEN 'gemma-3' ELSE 'mistral' END AS template
   FROM events)"""
@@ -534,7 +547,7 @@ SQL: dict[str, str] = {
     "sender_ranking": from_raw(f"""
   SELECT sender, count(*) AS n_messages, min(chat_key) AS chat_key,
          arg_min(pos, (chat_key, pos)) AS pos
-  FROM (SELECT trim(sender, {lit(WHITESPACE)}) AS sender, chat_key, pos FROM chat_raw
+  FROM (SELECT trim(sender, {lit(BLANKS)}) AS sender, chat_key, pos FROM chat_raw
         WHERE sender IS NOT NULL)
   GROUP BY sender"""),
     # Training text
@@ -557,14 +570,16 @@ SQL: dict[str, str] = {
         PLAIN,
     ),
     "response_markers": with_ctes(
-        f"""SELECT event_id, {marker_case(0)} AS instruction_marker,
-         {marker_case(1)} AS response_marker FROM choices""",
+        f"""SELECT event_id, {marker_case("user")} AS instruction_marker,
+         {marker_case("assistant")} AS response_marker FROM choices""",
         MODELS,
     ),
     "model_template": with_ctes(
-        "SELECT event_id, model, CASE model "
-        + " ".join(f"WHEN {lit(m)} THEN {lit(t)}" for m, t in MODEL_TEMPLATES.items())
-        + " END AS chat_template FROM choices",
+        """SELECT event_id, model, CASE model
+         WHEN 'unsloth/Meta-Llama-3.1-8B-Instruct-unsloth-bnb-4bit' THEN 'llama-3.1'
+         WHEN 'unsloth/Llama-3.2-3B-Instruct-unsloth-bnb-4bit' THEN 'llama-3.2'
+         WHEN 'unsloth/llama-3-8b-Instruct-bnb-4bit' THEN 'llama-3' END AS chat_template
+  FROM choices""",
         MODELS,
     ),
     "response_spans": folded(SPANS, PLAIN),
@@ -681,9 +696,17 @@ SQL: dict[str, str] = {
         """SELECT DISTINCT md5((chat_key // 10)::VARCHAR) AS run_id FROM valid ORDER BY run_id""",
         PLAIN,
     ),
-    "incremental_prep": with_ctes(
-        """SELECT doc, CASE WHEN status = 'ok' THEN 'completed' ELSE 'failed' END AS status,
-         CASE WHEN status = 'ok' THEN '' ELSE status END AS error, n_chats FROM verdicts""",
-        DOCS,
+    "incremental_prep": folded(
+        f"""
+  SELECT doc, CASE WHEN status = 'ok' THEN 'completed' ELSE 'failed' END AS status,
+         CASE WHEN status = 'ok' THEN '' ELSE status END AS error, n_chats,
+         CASE WHEN status = 'ok' THEN coalesce(n_valid, 0) ELSE 0 END AS num_blocks,
+         CASE WHEN status = 'ok' THEN coalesce(n_valid, 0) ELSE 0 END AS n_train,
+         CASE WHEN status = 'ok' THEN {len(METADATA) + len(STAT_NAMES)} ELSE 0 END::BIGINT
+           AS n_metadata
+  FROM verdicts LEFT JOIN (
+    SELECT chat_key // 5 AS doc, count(*) FILTER (outcome = 'valid') AS n_valid
+    FROM reviewed GROUP BY ALL) USING (doc)""",
+        (*PLAIN, DOCS),
     ),
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chatloom.config import FineTuneConfig, PrepConfig
 from chatloom.functions import text as tx
+from chatloom.functions.templates import MODEL_TEMPLATES
 from chatloom.functions.tokens import DEFAULT_COUNTER
 from chatloom.operators import blocks as bl
 from chatloom.operators import dialogue, ledger, messages, ordering, stats, training
@@ -462,14 +463,15 @@ def render_prompt(spark, sf_dir):
 
 def model_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A base model and a template name per event."""
+    offered = list(MODEL_TEMPLATES)
     pick = F.col("event_id") % 6
     model = (
-        F.when(pick == 0, "unsloth/Meta-Llama-3.1-8B-Instruct-unsloth-bnb-4bit")
-        .when(pick == 1, "unsloth/Llama-3.2-3B-Instruct-unsloth-bnb-4bit")
-        .when(pick == 2, "unsloth/llama-3-8b-Instruct-bnb-4bit")
-        .when(pick == 3, "unsloth/gemma-3-4b-it-unsloth-bnb-4bit")
-        .when(pick == 4, "unsloth/mistral-7b-instruct-v0.3")
-        .otherwise("unsloth/Llama-3.2-1B-Instruct-bnb-4bit")
+        F.when(pick == 0, offered[0])
+        .when(pick == 1, offered[1])
+        .when(pick == 2, offered[2])
+        .when(pick == 3, "tests/small-gemma-chat")
+        .when(pick == 4, "tests/plain-chat")
+        .otherwise("tests/tiny-llama-chat")
     )
     named = F.col("event_id") % 5
     template = (
@@ -776,10 +778,17 @@ def incremental_prep(spark, sf_dir):
             spark, landing, out, f"{out}/checkpoint", CFG
         )
         started.awaitTermination()
-    done = incremental.read_ledger(spark, out)
+    of = lambda dataset: F.count_if(F.col("data") == dataset)
+    lines = spark.read.text(f"{out}/runs").groupBy("run_id")
+    written = lines.agg(of(runs.TRAIN).alias("n_train"), of(runs.METADATA).alias("n_metadata"))
+    done = incremental.read_ledger(spark, out).join(written, "run_id", "left")
+    count = lambda name: F.coalesce(name, F.lit(0)).cast("bigint").alias(name)
     return done.select(
         document_number().alias("doc"),
         "status",
         F.coalesce("error", F.lit("")).alias("error"),
-        F.col("n_chats").cast("bigint").alias("n_chats"),
+        count("n_chats"),
+        count("num_blocks"),
+        count("n_train"),
+        count("n_metadata"),
     )
