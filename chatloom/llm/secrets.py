@@ -8,7 +8,8 @@ correlation. Fisher's sum of the three p-values is the score.
 
 False discoveries are controlled per length: natural words (letters of one
 case) are scored the same way, over all documents, and tell how often an
-ordinary token of that length passes the battery. Candidates get that share as
+ordinary token of that length passes the battery, once for encodings of few
+symbols and once, scored as lower-case letters with digits, for larger ones. Candidates get that share as
 p-value and the Benjamini-Hochberg step over all candidates of the corpus sets
 the cut. Scores are counted in bins, so what reaches the driver is a table of
 length classes times bins, whatever the number of documents.
@@ -75,6 +76,8 @@ _IN = np.array(
 )
 _TOKEN = _CODE[-1] >= 0
 _HEX = _CODE[1] >= 0
+# Encodings from here on mix letters with digits or cases.
+_MIXED_AT = ALPHABETS.index(DIGITS + LOWER)
 _LOWER_AT, _UPPER_AT = ALPHABETS.index(LOWER), ALPHABETS.index(UPPER)
 
 
@@ -90,15 +93,23 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, tail, 1.0 - tail)
 
 
-def battery(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple:
-    """Encoding and combined p-value, under uniform random symbols, of each token."""
+def battery(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encoding: int | None = None
+) -> tuple:
+    """Encoding and combined p-value, under uniform random symbols, of each token.
+
+    The encoding is inferred unless one is given that holds all tokens.
+    """
     n = (ends - starts).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
     owner = np.repeat(np.arange(len(n)), n)
     at = np.arange(n.sum()) - first[owner] + starts[owner]
     chars = data[at]
     common = np.bitwise_and.reduceat(_IN[chars], first)
-    encoding = np.argmax((common[:, None] >> np.arange(len(ALPHABETS))) & 1, axis=1)
+    if encoding is None:
+        encoding = np.argmax((common[:, None] >> np.arange(len(ALPHABETS))) & 1, axis=1)
+    else:
+        encoding = np.full(len(n), encoding)
     code = _CODE[encoding[owner], chars].astype(np.int64)
     size = _SIZE[encoding].astype(np.float64)
 
@@ -213,10 +224,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     | (encoding == _UPPER_AT)
                     | ((rest_lower >> _LOWER_AT) & 1 == 1)
                 )
-                codes = classes * BINS + bins
-                for s, e, c, d, word in zip(starts, ends, codes, owners, natural):
+                codes = ((encoding >= _MIXED_AT) * len(LENGTHS) + classes) * BINS + bins
+                as_mixed = np.zeros_like(codes)
+                if natural.any():
+                    small = np.where((piece.data >= 65) & (piece.data <= 90), piece.data + 32, piece.data)
+                    _, p = battery(small, starts[natural], ends[natural], _MIXED_AT)
+                    as_mixed[natural] = (len(LENGTHS) + classes[natural]) * BINS + score_bin(p)
+                for s, e, c, m, d, word in zip(starts, ends, codes, as_mixed, owners, natural):
                     if word:
-                        words[d].append(int(c))
+                        words[d] += (int(m),) if c >= len(LENGTHS) * BINS else (int(c), int(m))
                         continue
                     s, e = int(s - piece.starts[d]), int(e - piece.starts[d])
                     if not any(x[0] < e and s < x[1] for x in base[d]):
@@ -251,12 +267,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def discovery_cuts(words: dict[int, int], candidates: dict[int, int], rate: float) -> list[int]:
-    """Largest accepted bin of each length class (-1: none), by Benjamini-Hochberg.
+    """Largest accepted bin of each class (-1: none), by Benjamini-Hochberg.
 
-    Keys are ``class * BINS + bin``; small bins look random. The p-value of a bin
-    is the share of natural words of the class that score at least as random.
+    Keys are ``class * BINS + bin``, where classes are lengths for small and then
+    for mixed encodings; small bins look random. The p-value of a bin is the
+    share of natural words of the class that score at least as random.
     """
-    n_classes = len(LENGTHS)
+    n_classes = 2 * len(LENGTHS)
     word = np.zeros((n_classes, BINS))
     found = np.zeros((n_classes, BINS))
     for table, counts in ((word, words), (found, candidates)):
@@ -266,7 +283,7 @@ def discovery_cuts(words: dict[int, int], candidates: dict[int, int], rate: floa
     p = np.where(totals > 0, (np.cumsum(word, axis=1) + 1) / (totals + 1), 1.0)
     # The tests only gain power with length: a length with few natural words
     # takes over the share of shorter ones.
-    p = np.minimum.accumulate(p, axis=0)
+    p = np.minimum.accumulate(p.reshape(2, len(LENGTHS), BINS), axis=1).reshape(p.shape)
     n_all = found.sum()
     if not n_all:
         return [-1] * n_classes
