@@ -189,8 +189,8 @@ _ANSWER = (
 )
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with ``lang_pred``, ``score`` and ``rejected``.
+def _answered(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """``keep`` columns as ``key_0, key_1, ...`` with the answer's columns.
 
     The model (centroids times dimensions) travels with the task.
     """
@@ -221,10 +221,12 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
         *[F.col(c).alias(f"key_{i}") for i, c in enumerate(keep)], F.col("text").alias("body")
     )
     schema = T.StructType([*picked.schema.fields[:-1], *_ANSWER.fields])
-    answered = picked.mapInArrow(apply, schema)
-    return answered.select(
-        *[F.col(f"key_{i}").alias(c) for i, c in enumerate(keep)], *_ANSWER.fieldNames()
-    )
+    return picked.mapInArrow(apply, schema)
+
+
+def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``docs`` with ``lang_pred``, ``score`` and ``rejected``."""
+    return _answered(docs, model, keep).toDF(*keep, *_ANSWER.fieldNames())
 
 
 def id_remainder(modulus: int):
@@ -249,7 +251,8 @@ def language_report(docs: DataFrame) -> DataFrame:
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """Documents whose language is recognised, in their own columns."""
     model = train(training_rows(docs))
-    return predict(docs, model, docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+    accepted = _answered(docs, model, docs.columns).filter(~F.col("rejected"))
+    return accepted.drop(*_ANSWER.fieldNames()).toDF(*docs.columns)
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:

@@ -302,9 +302,14 @@ def find_secrets(
 ) -> DataFrame:
     """``keep`` columns of every document with ``base_sha256`` and ``found`` spans.
 
-    ``found`` is an array of ``start, end, kind`` (code points, end exclusive)
+    ``found`` is an array of ``start, kind, end`` (code points, end exclusive)
     by start, then kind.
     """
+    return _found(docs, rate, keep, text_col).toDF(*keep, "base_sha256", "found")
+
+
+def _found(docs: DataFrame, rate: float, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """As ``find_secrets``, with the kept columns as ``key_0, key_1, ...``."""
     spark = docs.sparkSession
     ship_package(spark)
     picked = docs.select(
@@ -328,11 +333,8 @@ def find_secrets(
             lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")),
         )
     )
-    return scanned.select(
-        *[F.col(f"key_{i}").alias(c) for i, c in enumerate(keep)],
-        "base_sha256",
-        kept.alias("found"),
-    )
+    keys = [f"key_{i}" for i in range(len(keep))]
+    return scanned.select(*keys, "base_sha256", kept.alias("found"))
 
 
 def joined_spans(found: str):
@@ -368,9 +370,9 @@ def redact_secrets(docs: DataFrame, rate: float = RATE, mask: str = "[secret]")
     """
     keep = tuple(docs.columns)
     # The text goes through the scan as one more kept column.
-    found = find_secrets(docs, rate, keep)
+    found = _found(docs, rate, keep, "text")
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("done"))
-    text = F.col("text")
+    text = F.col(f"key_{keep.index('text')}")
     piece = lambda start, end: F.substr(text, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
 
     def step(acc, x):
@@ -387,7 +389,9 @@ def redact_secrets(docs: DataFrame, rate: float = RATE, mask: str = "[secret]")
         lambda acc: F.concat(acc["done"], piece(acc["at"], F.length(text).cast("bigint"))),
     )
     changed = F.when(F.size("found") > 0, whole).otherwise(text)
-    return found.select(*[changed.alias(c) if c == "text" else F.col(c) for c in keep])
+    return found.select(
+        *[changed.alias(c) if c == "text" else F.col(f"key_{i}").alias(c) for i, c in enumerate(keep)]
+    )
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:

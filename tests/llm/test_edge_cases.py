@@ -131,10 +131,10 @@ def test_stages_keep_columns(spark, edge, nothing, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     folder = "/root/testdata/sf0.001"
     out = stage(spark, edge, folder)
-    assert out.columns == edge.columns and out.schema == edge.schema
+    assert out.dtypes == edge.dtypes
     assert stage(spark, nothing, folder).count() == 0
     if name == "near_duplicates":
-        assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, 3, None, 6, 7, 8, 5][:7]))
+        assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, 3, 5, 6, 7, 8, None]))
 
 
 def test_repeated_rows_without_an_id_leave_one(spark):
