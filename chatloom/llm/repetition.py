@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatloom.llm.scan import Rolling, Slice, combine, slices
+from chatloom.llm.scan import Rolling, Slice, combine, mix, slices
 from chatloom.session import ship_package
 
 MIN_WORDS = 50
@@ -39,22 +39,27 @@ _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def repeated_windows(ids: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """For every word: whether the ``n``-word window at it occurs again in its text."""
-    flags = np.zeros(len(ids), dtype=bool)
-    if len(ids) < n:
-        return flags
-    last = len(ids) - n + 1
-    inside = doc[:last] == doc[n - 1 :]
-    at = np.flatnonzero(inside)
-    key = combine(doc[at].astype(np.uint64), *[ids[at + k] for k in range(n)])
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(at), dtype=bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    flags[at[order]] = twice
-    return flags
+def window_ranks(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of the 3-word window at every word, and whether it occurs again in its text.
+
+    Equal windows of one text share the rank, which is the first place of their
+    group in the order of all windows. The last two words of a text start no
+    window; they get ranks of their own.
+    """
+    n = len(ids)
+    at = np.flatnonzero(doc[: max(n - WINDOW + 1, 0)] == doc[WINDOW - 1 :][: max(n - WINDOW + 1, 0)])
+    key = mix(np.arange(n, dtype=np.uint64) + np.uint64(1 << 50))
+    key[at] = combine(doc[at].astype(np.uint64), *[ids[at + k] for k in range(WINDOW)])
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.ones(n, dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    single = new & np.append(new[1:], True) if n else new
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    repeated = np.zeros(n, dtype=bool)
+    repeated[order] = ~single
+    return rank, repeated
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
@@ -63,60 +68,48 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def suffix_order(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes ``at`` in order within their texts, with the LCP to the one before.
+def suffix_order(rank: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes ``tied`` in order, with the LCP in words to the one before.
 
-    Prefix doubling on all words: ranks of 1, 2, 4, ... words, until no two of
-    the suffixes are tied. Every level answers later questions on equal
-    substrings, so the LCP is found from the levels, longest first.
+    Windows are the letters. Prefix doubling sorts by 1, 2, 4, ... letters and
+    only goes on with suffixes that are still tied; a text ends with letters of
+    its own, so that no comparison leaves it. ``rank`` of level k is equal
+    exactly where 2^k letters are, which then gives the LCP from the levels.
     """
-    n = len(ids)
-    ends = np.zeros(n, dtype=bool)
-    ends[-1] = True
-    ends[:-1] = doc[1:] != doc[:-1]
-    end_of = np.flatnonzero(ends)[np.cumsum(ends) - ends] + 1  # end of each word's text
-    rank = combine(doc.astype(np.uint64), ids)
-    levels, span = [rank], 1
-    while True:
-        key = rank[at]
-        ordered = np.sort(key)
-        if not (ordered[1:] == ordered[:-1]).any():
-            break
-        ahead = np.minimum(np.arange(n) + span, n - 1)
-        beyond = np.arange(n) + span >= end_of
-        # A suffix that ends here differs from all others by its position.
-        rank = combine(rank, np.where(beyond, np.arange(n, dtype=np.uint64) + np.uint64(1 << 60), rank[ahead]))
-        span *= 2
+    first, levels, span = tied, [rank], 1
+    while len(tied):
+        a, b = rank[tied], rank[tied + span]
+        order = np.lexsort((b, a))
+        tied, a, b = tied[order], a[order], b[order]
+        index = np.arange(len(tied))
+        group = np.append(True, a[1:] != a[:-1])
+        part = group | np.append(True, b[1:] != b[:-1])
+        start = np.maximum.accumulate(np.where(group, index, 0))
+        rank = rank.copy()
+        rank[tied] = a + np.maximum.accumulate(np.where(part, index, 0)) - start
         levels.append(rank)
-    # Order: compare by the first differing words; ranks are hashes, so any
-    # consistent order of words serves. Sorting by the levels from the shortest
-    # keeps suffixes with a common prefix together.
-    order = np.lexsort([level[at] for level in reversed(levels)])
-    suffix = at[order]
+        tied = tied[~(part & np.append(part[1:], True))]
+        span *= 2
+    suffix = first[np.argsort(rank[first])]
     lcp = np.zeros(len(suffix), dtype=np.int64)
     if len(suffix) > 1:
         a, b = suffix[:-1].copy(), suffix[1:].copy()
         common = np.zeros(len(a), dtype=np.int64)
-        for level, step in zip(reversed(levels), [1 << k for k in reversed(range(len(levels)))]):
-            ok = (a < n) & (b < n)
-            equal = np.zeros(len(a), dtype=bool)
-            equal[ok] = level[a[ok]] == level[b[ok]]
-            a, b, common = a + step * equal, b + step * equal, common + step * equal
-        lcp[1:] = common
+        for k in reversed(range(len(levels))):
+            equal = (levels[k][a] == levels[k][b]) << k
+            a, b, common = a + equal, b + equal, common + equal
+        lcp[1:] = np.where(common > 0, common + WINDOW - 1, 0)
     return suffix, lcp
 
 
-def maximal_repeats(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, least: int):
-    """Spans (start, words) of maximal repeats of at least ``least`` words.
+def maximal_repeats(rank: np.ndarray, tied: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and words of repeats of at least ``least`` words.
 
-    A suffix repeats for the larger of the LCPs to its neighbours; the span is
-    maximal when the word before it does not extend the repeat, which holds for
-    one member of each LCP interval at least. Taking the longest repeat at each
-    suffix covers the union of all intervals.
+    A suffix repeats for the larger of the LCPs to its neighbours. The longest
+    repeat at each suffix covers all LCP intervals that it belongs to, and the
+    longest of all is maximal.
     """
-    if not len(at):
-        return at, at
-    suffix, lcp = suffix_order(ids, doc, at)
+    suffix, lcp = suffix_order(rank, tied)
     longest = lcp.copy()
     longest[:-1] = np.maximum(longest[:-1], lcp[1:])
     keep = longest >= least
@@ -134,12 +127,12 @@ def measure(piece: Slice) -> dict[str, np.ndarray]:
     word_chars = np.bincount(doc, weights=lead[ends] - lead[starts], minlength=n_docs)
     symbols = np.bincount(piece.owner(np.flatnonzero(_SYMBOL[data])), minlength=n_docs)
 
-    triple = repeated_windows(ids, doc, WINDOW)
-    at = np.flatnonzero(triple)
+    rank, repeated = window_ranks(ids, doc)
+    at = np.flatnonzero(repeated)
     in_windows = covered(at, np.full(len(at), WINDOW), len(ids))
     repeat_words = np.bincount(doc[in_windows], minlength=n_docs)
 
-    spans, lengths = maximal_repeats(ids, doc, at, MIN_REPEAT)
+    spans, lengths = maximal_repeats(rank, at, MIN_REPEAT)
     in_repeats = covered(spans, lengths, len(ids))
     covered_words = np.bincount(doc[in_repeats], minlength=n_docs)
     longest = np.zeros(n_docs, dtype=np.int64)
