@@ -47,6 +47,8 @@ class PrepConfig:
     # costs its length per block. Larger chats are cut into ordered segments, so
     # that no task ever holds a whole giant chat.
     whole_chat_rows: int = 10_000
+    # The same for the characters of a chat, which bound the row that holds it.
+    whole_chat_chars: int = 50_000_000
     # Rows of one segment, which a task holds as one Arrow table.
     rows_per_segment: int = 1_000_000
     # Clock reading against which a future date limit is recognised.

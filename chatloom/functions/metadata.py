@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # unreadable as a literal.
 INTEGER = r"^-?[0-9]+$"
 DECIMAL = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"
+LITERAL = r"(^|[\[,\s])(True|False|None)(?=$|[\],\s])"
 NOT_LITERAL = r"(^|[\[,\s])(true|false|null)($|[\],\s])"
 
 
@@ -16,7 +17,10 @@ def listed_value(value: Column) -> Column:
     """Elements of a bracketed list as strings, NULL for anything else."""
     return F.when(
         value.startswith("[") & value.endswith("]") & ~value.rlike(NOT_LITERAL),
-        F.from_json(value, "array<string>"),
+        F.coalesce(
+            F.from_json(value, "array<string>"),
+            F.from_json(F.regexp_replace(value, LITERAL, '$1"$2"'), "array<string>"),
+        ),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import arrays
 from chatloom.functions.text import micros_between
+from chatloom.operators.messages import entity_texts
 from chatloom.operators.ordering import (
     Ordered,
     add_previous,
@@ -35,13 +36,19 @@ def chronological(
     whole_rows: int,
     segment_rows: int | None = None,
     counted: DataFrame | None = None,
+    whole_chars: int | None = None,
 ) -> Ordered:
     """Messages in time order per chat; equal times keep the source order.
 
     ``counted`` may give a superset of the messages that is cheaper to count.
+    Chats with more than ``whole_chars`` characters of text are heavy too.
     """
     keys, order = ["chat_key"], ["ts", "pos"]
-    return order_rows(messages, keys, order, whole_rows, segment_rows, counted)
+    weight = None
+    if whole_chars is not None and "text_entities" in (messages if counted is None else counted).columns:
+        texts = F.transform(entity_texts(), F.length)
+        weight = F.aggregate(F.coalesce(texts, F.array().cast("array<int>")), F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(x, F.lit(0)))
+    return order_rows(messages, keys, order, whole_rows, segment_rows, counted, weight, whole_chars)
 
 
 def message_gap(rows: Ordered) -> Ordered:

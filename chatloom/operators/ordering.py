@@ -60,9 +60,14 @@ def order_rows(
     whole_rows: int,
     segment_rows: int | None = None,
     counted: DataFrame | None = None,
+    weight: Column | None = None,
+    whole_weight: int | None = None,
 ) -> Ordered:
     """Split rows into light keys and heavy keys with more than ``whole_rows`` rows.
 
+    With ``weight``, a column of the counted rows, keys that weigh more than
+    ``whole_weight`` are heavy as well.
+
     Heavy keys are cut into segments of about ``segment_rows`` rows, which
     defaults to ``whole_rows``. ``order`` must be unique within a key. Sizes come from one partially
     aggregated count, of which a single row reaches the driver. ``counted`` may
@@ -73,8 +78,11 @@ def order_rows(
     sizes = (
         (df if counted is None else counted)
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .filter(F.col("n_rows") > whole_rows)
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum(F.lit(0) if weight is None else weight).alias("weight"),
+        )
+        .filter((F.col("n_rows") > whole_rows) | (F.col("weight") > (whole_weight or 0)))
     )
     found = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("rows")).first()
     if not found.n:

@@ -394,7 +394,7 @@ SQL: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, {normal('text')} AS content FROM documents",
     "assign_role": from_raw("""
   SELECT chat_key, pos, CASE WHEN sender = 'Me' THEN 'assistant' ELSE 'user' END AS role
-  FROM chat_raw WHERE sender IS NOT NULL"""),
+  FROM chat_raw"""),
     "parse_timestamp": from_dirty(
         f"SELECT chat_key, pos, date, {secs('ts')} AS ts FROM parsed"
     ),

@@ -34,7 +34,9 @@ def message_blocks(
     ``counted`` may give a superset of the messages that is cheaper to count.
     """
     low, high = cfg.token_limits
-    rows = bl.chronological(messages, cfg.whole_chat_rows, cfg.rows_per_segment, counted)
+    rows = bl.chronological(
+        messages, cfg.whole_chat_rows, cfg.rows_per_segment, counted, cfg.whole_chat_chars
+    )
     blocks = bl.token_blocks(rows, cfg.gap_seconds, high)
     return bl.with_verdict(blocks, low, high)
 

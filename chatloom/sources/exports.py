@@ -154,15 +154,19 @@ def export_messages(chats: DataFrame) -> DataFrame:
         F.posexplode(F.from_json("chat", "messages array<string>")["messages"]).alias("pos", "text"),
     )
     messages = texts.select(*others, "pos", F.try_parse_json("text").alias("message"))
+    given = F.try_variant_get("message", "$.text_entities", "variant")
+    entities = F.try_variant_get("message", "$.text_entities", f"array<{ENTITY.simpleString()}>")
+    # Malformed entities lose the whole message, a sticker included.
+    malformed = given.isNotNull() & ~F.is_variant_null(given) & entities.isNull()
     return messages.select(
         *others,
         F.col("pos").cast("bigint").alias("pos"),
         _text("message", "from").alias("from"),
         _text("message", "date").alias("date"),
-        F.try_variant_get(
-            "message", "$.text_entities", f"array<{ENTITY.simpleString()}>"
-        ).alias("text_entities"),
-        _text("message", "sticker_emoji").alias("sticker_emoji"),
+        entities.alias("text_entities"),
+        F.when(~F.coalesce(malformed, F.lit(False)), _text("message", "sticker_emoji")).alias(
+            "sticker_emoji"
+        ),
     )
 
 

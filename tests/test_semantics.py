@@ -1,5 +1,6 @@
 """Documented rules of the message, block and statistics steps."""
 
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -254,8 +255,14 @@ def test_segments_change_no_output(spark):
                 stats.chat_stats(reviewed).collect(),
             )
         )
-        results[-1] += (sorted(map(str, runs.processed_blocks(reviewed, rows_per_segment).collect())),)
-        assert len(results[-1][-1]) == stats.chat_stats(reviewed).first().num_blocks > 0
+        small = replace(cfg, whole_chat_rows=10_000, whole_chat_chars=100)
+        by_chars = prepare_chats(raw(spark, *rows), small)
+        assert stats.chat_stats(by_chars).collect() == stats.chat_stats(reviewed).collect()
+        lines = runs.processed_blocks(reviewed, rows_per_segment).collect()
+        results[-1] += (sorted(map(str, lines)),)
+        totals = stats.chat_stats(reviewed).first()
+        assert sum(r.block_no is not None for r in lines) == totals.num_blocks > 0
+        assert len({r.chat_key for r in lines}) == totals.num_chats
     assert results[0] == results[1] == results[2]
 
 
