@@ -44,7 +44,7 @@ LENGTH, SPAN, DECAY = 3, 5, 0.7
 WINDOW = 10
 STARTS = WINDOW - SPAN + 1  # subsequence starts summed for a window
 BUCKETS = 1 << 20
-PER_LABEL, TRAIN_CHARS = 1500, 8_000
+PER_LABEL, TRAIN_CHARS = 1000, 6_000
 LANDMARKS = 512
 ROUNDS = 4
 NEGATIVES_PER_TEXT = 4
@@ -227,9 +227,12 @@ def _machine(s: Symbols, at: np.ndarray, y: np.ndarray, landmarks: np.ndarray) -
     kernel = np.zeros((len(at), len(landmarks)))
     order = np.argsort(row[known], kind="stable")
     r, k, v = row[known][order], slot[known][order], value[known][order]
-    for first in range(0, len(r), 1 << 16):
-        part = slice(first, first + (1 << 16))
-        np.add.at(kernel, r[part], basis[k[part]] * v[part][:, None])
+    for low in range(0, len(at), 64):  # few windows at a time bound the memory
+        part = slice(*np.searchsorted(r, (low, low + 64)))
+        if part.start < part.stop:
+            rows = r[part]
+            head = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            kernel[rows[head]] = np.add.reduceat(basis[k[part]] * v[part][:, None], head, axis=0)
     scale = np.sqrt((basis * basis).sum(axis=0)).mean()
     kernel, basis = kernel / scale**2, basis / scale
     values, vectors = np.linalg.eigh(basis.T @ basis)
