@@ -136,6 +136,7 @@ def resolve(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
         .filter((F.col("single") > 0) & (F.col("classes") > 1))
         .select("rank")
     )
+    ranks = land(ranks, "repeat-ranks")
     repeated = classes.filter("n > 1").select(F.col("rank").alias("r"), F.col("union").alias("u"))
     match = (F.col("rank") == F.col("r")) & (F.col("union") == F.col("u"))
     covered = land(buckets.join(repeated, match, "left_semi").select("id", "text_key", "at", "far", "near"), "repeat-found")
@@ -237,7 +238,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     keys = rows.schema.fields[:2]
     schema = T.StructType([*keys, *_ANCHOR.fields])
     sample = land(rows.mapInArrow(_sample, schema), "repeat-sample")
-    shared = sample.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("rank").alias("r"))
+    # Counts are landed, so that the join has plain sides and a hot rank is split.
+    shared = land(
+        sample.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("rank").alias("r")),
+        "repeat-shared",
+    )
     candidates = land(
         sample.join(shared, F.col("rank") == F.col("r"), "left_semi").withColumn("weight", F.lit(1).cast("bigint")),
         "repeat-candidates",
