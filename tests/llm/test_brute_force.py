@@ -209,6 +209,28 @@ def test_near_duplicate_classes(docs, texts):
     assert kept == {root(i) for i in bags}
 
 
+def test_links_inside_a_template_family_are_found(spark):
+    # All texts are about 0.77 alike and share buckets; 30 pairs are above 0.8.
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    template = [word() for _ in range(400)]
+    rows = []
+    for family in range(120):
+        own = template[:348] + [word() for _ in range(52)]
+        rows.append((len(rows), " ".join(own)))
+        if family < 30:
+            rows.append((len(rows), " ".join(own[:-36] + [word() for _ in range(36)])))
+    bags = {i: bag(t) for i, t in rows}
+    linked = set()
+    for a, b in combinations(bags, 2):
+        shared = sum((bags[a] & bags[b]).values())
+        if shared >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - shared):
+            linked.add((a, b))
+    assert len(linked) == 30
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicate_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(c, i) for i, c in found.items() if c != i} == linked
+
+
 def test_pruned_retrieval_equals_all_scores():
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
