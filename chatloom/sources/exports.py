@@ -53,7 +53,11 @@ def parse_documents(files: DataFrame) -> DataFrame:
 
 
 def _first_letter(text: Column) -> Column:
-    return F.substring(F.ltrim(F.substring(text, 1, 1000)), 1, 1)
+    """The first letter after the blanks of JSON."""
+    letter = lambda x: F.substring(F.ltrim(x, F.lit(" \t\r\n")), 1, 1)
+    near = letter(F.substring(text, 1, 1000))
+    # Only a text that begins with more blanks is copied whole.
+    return F.when(near != "", near).otherwise(letter(text))
 
 
 def _is_chat(text: Column) -> Column:

@@ -209,6 +209,17 @@ def test_broken_tails_are_unparseable(spark):
     assert found == ["unparseable"] * 5 + ["no valid chats"] * 2
 
 
+def test_blanks_before_a_document_do_not_matter(spark):
+    chat = json.dumps({"name": "A", "type": "t", "messages": []})
+    bodies = [chat, f"[{chat}]", f'{{"chats": {{"list": [{chat}]}}}}']
+    blanks = ["\n", "\t", "\r\n", " " * 1200, "\n\t " * 700]
+    rows = [(f"{i}-{j}", b + body) for i, b in enumerate(blanks) for j, body in enumerate(bodies)]
+    documents = exports.parse_documents(spark.createDataFrame(rows, "source string, value string"))
+    found = {r.source: (r.status, r.n_chats) for r in exports.export_file_report(documents).collect()}
+    assert found == {name: ("ok", 1) for name, _ in rows}
+    assert exports.read_exports(documents).filter("name = 'A'").count() == len(rows)
+
+
 @pytest.mark.parametrize("turns", [12, 60])
 def test_long_conversations_stay_whole(spark, tmp_path, turns):
     rows = [(c, t, ("user", "assistant")[t % 2], f"w{t} " * 30) for c in range(12) for t in range(turns)]
