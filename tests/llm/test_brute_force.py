@@ -347,6 +347,22 @@ def test_fuzzy_passages(spark):
         assert set(texts[r.doc_id].split()[r.start_word : r.end_word]) & set(passage)
 
 
+def test_short_fuzzy_passages(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    rows = []
+    for pair in range(120):
+        n, share = (52, 60)[pair % 2], (0.18, 0.15)[pair // 2 % 2]
+        passage = [word() for _ in range(n)]
+        wrong = set(rng.sample(range(1, n - 1), int(share * n)))
+        edited = [word() if k in wrong else w for k, w in enumerate(passage)]
+        for body in (passage, edited):
+            rows.append((len(rows), " ".join([*[word() for _ in range(30)], *body, *[word() for _ in range(30)]])))
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id // 2, r.match_id // 2) for r in found} == {(k, k) for k in {r.doc_id // 2 for r in found}}
+    assert {r.doc_id // 2 for r in found} == set(range(120))
+
+
 def test_chains_equal_the_quadratic_recurrence():
     rng = random.Random(1)
     for _ in range(30):
