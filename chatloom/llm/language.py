@@ -3,7 +3,8 @@
 A text is a TF-IDF vector of hashed letter trigrams, of length one. Every
 language has several centroids (spherical k-means over its training texts); the
 nearest one by cosine names the language. A text farther from it than training
-texts of its length are is rejected.
+texts of its length are is rejected. Lengths with few training texts are judged
+by parts of that length cut from longer ones, or else as the nearest length.
 
 Training uses a bounded sample: at most ``PER_LANGUAGE`` texts of a language,
 those with the smallest hashes of their ids. Every text is predicted from all
@@ -16,7 +17,7 @@ score 0 and rejected; without any training text every text is ``und``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,10 @@ DIMENSIONS = 4096
 # A text is rejected below this share of the cosine that nearly all training
 # texts of its length reach.
 REJECT_QUANTILE, REJECT_SHARE = 0.01, 0.5
+# A length class has a bound of its own from so many texts on.
+LEAST_TEXTS = 20
+# Lengths in bytes of the parts that stand for short texts.
+PARTS = tuple(3 << k for k in range(12))
 SHARPNESS = 20.0
 SLICE_BYTES = 1 << 20
 
@@ -98,8 +103,34 @@ class Model:
         return winner, 1.0 / weight, top < self.least[length_class(counts)]
 
 
-def fit_centroids(counts: np.ndarray, labels: list[str]) -> Model:
-    """Cluster the rows of every language; no randomness."""
+def text_parts(text: bytes) -> list[bytes]:
+    """A part of each length in ``PARTS`` below that of the text, from a word start."""
+    start = text.find(b" ", len(text) // 3) + 1
+    return [text[start : start + n] for n in PARTS if start + n < len(text)]
+
+
+def least_cosines(reached: np.ndarray, classes: np.ndarray, part_reached: np.ndarray, part_classes: np.ndarray) -> np.ndarray:
+    """Lowest accepted cosine of each length class, from texts or from parts of texts."""
+    least = np.full(13, np.nan)
+    for c in range(1, 13):
+        own = reached[classes == c]
+        if len(own) < LEAST_TEXTS:
+            own = np.concatenate([own, part_reached[part_classes == c]])
+        if len(own) >= LEAST_TEXTS:
+            least[c] = REJECT_SHARE * np.quantile(own, REJECT_QUANTILE)
+    filled = np.flatnonzero(~np.isnan(least))
+    if not len(filled):  # a handful of training texts: the lowest of all
+        everything = np.concatenate([reached, part_reached])
+        return np.full(13, REJECT_SHARE * everything.min(), dtype=np.float32)
+    # The nearest filled class, of two the shorter.
+    return np.array([least[filled[np.abs(filled - c).argmin()]] for c in range(13)], dtype=np.float32)
+
+
+def fit_centroids(counts: np.ndarray, labels: list[str], parts: Iterable[np.ndarray] = ()) -> Model:
+    """Cluster the rows of every language; no randomness.
+
+    ``parts`` are blocks of counts of parts of the texts, for the bounds only.
+    """
     languages = sorted(set(labels))
     label = np.array([languages.index(x) for x in labels])
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
@@ -122,29 +153,32 @@ def fit_centroids(counts: np.ndarray, labels: list[str]) -> Model:
         owner += [i] * len(centre)
     model.centroids, model.owner = np.concatenate(centroids), np.array(owner)
     reached = (x @ model.centroids.T).max(axis=1)
-    classes = length_class(counts)
-    least = np.zeros(13, dtype=np.float32)
-    for c in range(13):
-        own = reached[classes == c]
-        least[c] = REJECT_SHARE * np.quantile(own, REJECT_QUANTILE) if len(own) >= 20 else 0.0
-    model.least = least
+    # (nearest cosine, length class) of every part
+    seen = [((model.vectors(p) @ model.centroids.T).max(axis=1), length_class(p)) for p in parts]
+    part_reached, part_classes = (np.concatenate([s[k] for s in seen] or [[]]) for k in (0, 1))
+    model.least = least_cosines(reached, length_class(counts), part_reached, part_classes)
     return model
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of every text and, as rows without a language, of its parts."""
+
+    def rows(piece, lang):
+        counts = trigram_counts(piece)
+        row, slot = np.nonzero(counts)
+        per = np.bincount(row, minlength=len(piece))
+        return pa.RecordBatch.from_arrays(
+            [lang, lists(per, pa.array(slot.astype(np.int32))), lists(per, pa.array(counts[row, slot]))],
+            ["lang", "slots", "counts"],
+        )
+
     for batch in batches:
         for piece in slices(batch.column("text"), SLICE_BYTES):
-            counts = trigram_counts(piece)
-            row, slot = np.nonzero(counts)
-            per = np.bincount(row, minlength=len(piece))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("lang").slice(piece.first, len(piece)),
-                    lists(per, pa.array(slot.astype(np.int32))),
-                    lists(per, pa.array(counts[row, slot])),
-                ],
-                ["lang", "slots", "counts"],
-            )
+            yield rows(piece, batch.column("lang").slice(piece.first, len(piece)))
+            parts = [p for text in piece.texts for p in text_parts(text)]
+            for first in range(0, len(parts), 512):
+                some = Slice(0, parts[first : first + 512])
+                yield rows(some, pa.nulls(len(some), pa.string()))
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -173,12 +207,19 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None
         .mapInArrow(_features, "lang string, slots array<int>, counts array<float>")
         .toArrow()
     )
-    counts = np.zeros((rows.num_rows, DIMENSIONS), dtype=np.float32)
     # The order of rows depends on scheduling; sorting makes the fit repeatable.
-    plain = sorted(zip(*[rows[c].to_pylist() for c in ("lang", "slots", "counts")]))
-    for i, (_, slots, values) in enumerate(plain):
-        counts[i, slots] = values
-    return fit_centroids(counts, [lang for lang, _, _ in plain])
+    table = list(zip(*[rows[c].to_pylist() for c in ("lang", "slots", "counts")]))
+    plain = sorted(r for r in table if r[0] is not None)
+
+    def dense(some):
+        counts = np.zeros((len(some), DIMENSIONS), dtype=np.float32)
+        for i, (_, slots, values) in enumerate(some):
+            counts[i, slots] = values
+        return counts
+
+    parts = [r for r in table if r[0] is None]
+    blocks = (dense(parts[i : i + 1024]) for i in range(0, len(parts), 1024))
+    return fit_centroids(dense(plain), [lang for lang, _, _ in plain], blocks)
 
 
 _ANSWER = (

@@ -303,6 +303,19 @@ def test_language_accuracy(spark):
     assert np.mean([r.rejected for r in rows]) < 0.01
 
 
+def test_random_texts_of_any_length_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(language.training_rows(docs))
+    assert (model.least[3:] > 0).all()
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("qxzjkwvyhg", k=rng.randint(3, 8)))
+    texts = [" ".join(word() for _ in range(n)).encode() for n in (10, 20, 40, 300, 5000) for _ in range(20)]
+    rejected = model.predict(language.trigram_counts(Slice(0, texts)))[2].reshape(5, 20)
+    assert (rejected.mean(axis=1) >= 0.9).all()
+    own = [p for r in docs.limit(300).collect() for p in language.text_parts(r.text.encode()) if len(p) > 20]
+    assert model.predict(language.trigram_counts(Slice(0, own)))[2].mean() < 0.02
+
+
 def test_mix_equals_sql_and_keeps_its_limits(spark):
     frame = mixing.op9_mixing(spark, FOLDER)
     assert difference(frame, queries.SQL["op9_mixing"], duck(FOLDER)) is None
