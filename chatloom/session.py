@@ -63,11 +63,15 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             store.delete(folder, True)
 
 
-def land(df: DataFrame, purpose: str) -> DataFrame:
-    """Write rows to the shared scratch folder once and read them from there."""
+def land(df: DataFrame, purpose: str, outer: bool = False) -> DataFrame:
+    """Write rows to the shared scratch folder once and read them from there.
+
+    With ``outer`` the rows outlive the innermost scope and belong to the next one.
+    """
     path = scratch_path(df.sparkSession, purpose)
-    if _scopes:
-        _scopes[-1].append(path)
+    owners = _scopes[:-1] if outer else _scopes
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
