@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from chatloom.llm.decontaminate import op6_decontaminate
 from chatloom.llm.language import op8_language
+from chatloom.llm.lines import op12_lines
 from chatloom.llm.lm import op3_lm
 from chatloom.llm.mixing import op9_mixing
 from chatloom.llm.neardup import op5_neardup
 from chatloom.llm.passages import op10_passages
+from chatloom.llm.prefixes import op11_prefixes
 from chatloom.llm.repeats import op2_repeats
 from chatloom.llm.repetition import op7_repetition
 from chatloom.llm.secrets import op1_secrets
+from chatloom.llm.spelling import op13_spelling
 from chatloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_passages": op10_passages,
+    "op11_prefixes": op11_prefixes,
+    "op12_lines": op12_lines,
+    "op13_spelling": op13_spelling,
 }
 
 # The mix as plain SQL, with one window per source.
@@ -80,4 +86,112 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (size * times)::BIGINT
 FROM timed
 """
 
-SQL: dict[str, str] = {"op9_mixing": MIXING}
+# CRC-32 of the bytes of a text: eight shifts a byte.
+CRC32 = r"""
+xor(list_reduce(
+  [4294967295::BIGINT] || flatten(list_transform(
+    range(octet_length(encode({0}))),
+    lambda i: [('0x' || hex(encode({0}))[2 * i + 1:2 * i + 2])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)
+"""
+
+PREFIXES = rf"""
+WITH turns AS (
+  SELECT conv_id, md5(length(role) || ':' || role || text) AS digest, length(text) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC32.format("conv_id::VARCHAR")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, t.pos, t.digest, t.chars FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos, t.digest, t.chars FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM rebuilt),
+keyed AS (
+  SELECT conv_id, depth, chars, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM numbered
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+paths AS (
+  SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS up,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS ends
+  FROM keyed),
+nodes AS (
+  SELECT depth, key, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n, min(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM paths GROUP BY depth, key),
+counted AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children
+  FROM nodes n LEFT JOIN (SELECT depth - 1 AS depth, up AS key, count(*) AS n_children FROM nodes GROUP BY ALL) c
+  USING (depth, key)),
+sums AS (
+  SELECT p.depth, p.key, sum((c.n_children = 0)::INT)::BIGINT AS n_leaves, sum((c.n - 1) * c.chars)::BIGINT AS saved_tokens
+  FROM counted c JOIN paths p ON p.conv_id = c.conv_id AND p.depth <= c.depth GROUP BY ALL)
+SELECT c.conv_id, c.depth, u.conv_id AS parent_conv_id, c.n AS n_convs, c.n_children,
+       s.n_leaves, s.saved_tokens, c.ends_sha256
+FROM counted c JOIN sums s USING (depth, key)
+LEFT JOIN nodes u ON u.depth = c.depth - 1 AND u.key = c.up
+"""
+
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+LINES = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT row_no, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM docs),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g'), {LOWER}) AS key FROM lines),
+repeated AS (
+  SELECT key, min(doc_id) AS keeper FROM keyed WHERE length(key) >= 10 GROUP BY key
+  HAVING min(doc_id) < max(doc_id) OR (count(doc_id) > 0 AND count(doc_id) < count(*))),
+judged AS (
+  SELECT k.*, r.key IS NOT NULL AND k.doc_id IS DISTINCT FROM r.keeper AS gone FROM keyed k LEFT JOIN repeated r USING (key))
+SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY row_no, doc_id
+"""
+
+# Words that lose a letter at the same place and become equal, or of which one
+# becomes the other, are one edit apart.
+SPELLING = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), {LOWER}) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS named, {CRC32.format("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h
+  FROM counted),
+written AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+  FROM hashed),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM written WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+shorter AS (
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, unnest(range(length(word)))::INT AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word),
+ranked AS (
+  SELECT near.word, other, n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY n DESC, other) AS rank
+  FROM near JOIN words ON words.word = other),
+ruled AS (
+  SELECT w.word, CASE WHEN r.n >= 2 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.rank = 1),
+followed AS (
+  SELECT word, word AS root, form AS next FROM ruled
+  UNION ALL SELECT f.word, r.word, r.form FROM followed f JOIN ruled r ON r.word = f.next)
+SELECT r.word, r.form, f.root, r.n, r.n_near, r.form_n
+FROM ruled r JOIN followed f ON f.word = r.word AND f.next IS NULL
+"""
+
+SQL: dict[str, str] = {
+    "op9_mixing": MIXING,
+    "op11_prefixes": PREFIXES,
+    "op12_lines": LINES,
+    "op13_spelling": SPELLING,
+}
