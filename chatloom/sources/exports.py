@@ -24,11 +24,12 @@ TEXTS = "array<string>"
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per readable file below ``path``: ``source`` and its ``document`` text."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = (
-        reader.text(path)
+        # As an argument: the method's default replaces an option of the reader.
+        reader.text(path, wholetext=True)
         .filter(F.col("_metadata.file_size") <= MAX_DOCUMENT_BYTES)
         .select(F.col("_metadata.file_path").alias("source"), "value")
     )
@@ -60,13 +61,18 @@ def _first_letter(text: Column) -> Column:
     return F.when(near != "", near).otherwise(letter(text))
 
 
-def _is_chat(text: Column) -> Column:
+def is_chat(text: Column) -> Column:
     """Whether a JSON text is an object with the keys of a chat."""
     keys = F.json_object_keys(text)
     has = lambda key: F.coalesce(F.array_contains(keys, key), F.lit(False))
     return has("name") & has("messages")
 
 
+def is_value(text: Column) -> Column:
+    """Whether a text is exactly one JSON value."""
+    return F.coalesce(F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), TEXTS)) == 1, F.lit(False))
+
+
 def _compact(text: Column) -> Column:
     """The JSON text without layout, NULL when it is broken."""
     return F.from_json(F.concat(F.lit("["), text, F.lit("]")), TEXTS)[0]
@@ -93,10 +99,10 @@ def with_chats(documents: DataFrame) -> DataFrame:
     none = F.array().cast(TEXTS)
     exported = F.from_json(doc, "chats struct<list: array<string>>")["chats"]["list"]
     in_object = F.coalesce(
-        exported, F.when(_is_chat(doc), F.array(_compact(doc))), F.when(is_readable(doc), none)
+        exported, F.when(is_chat(doc), F.array(_compact(doc))), F.when(is_readable(doc), none)
     )
     chats = (
-        F.when(first == "[", F.filter(F.from_json(doc, TEXTS), _is_chat))
+        F.when(first == "[", F.filter(F.from_json(doc, TEXTS), is_chat))
         .when(first == "{", in_object)
         .when(is_readable(doc), none)
     )
@@ -157,6 +163,12 @@ def export_messages(chats: DataFrame) -> DataFrame:
         *others,
         F.posexplode(F.from_json("chat", "messages array<string>")["messages"]).alias("pos", "text"),
     )
+    return message_fields(texts)
+
+
+def message_fields(texts: DataFrame) -> DataFrame:
+    """The fields of messages given as JSON ``text`` beside ``pos`` and other columns."""
+    others = [c for c in texts.columns if c not in ("pos", "text")]
     messages = texts.select(*others, "pos", F.try_parse_json("text").alias("message"))
     given = F.try_variant_get("message", "$.text_entities", "variant")
     entities = F.try_variant_get("message", "$.text_entities", f"array<{ENTITY.simpleString()}>")

@@ -232,7 +232,7 @@ def test_long_conversations_stay_whole(spark, tmp_path, turns):
 
 def test_repeating_a_batch_changes_nothing(spark, landing, tmp_path):
     out = str(tmp_path / "out")
-    files = spark.read.option("wholetext", True).text(landing).select(
+    files = spark.read.text(landing, wholetext=True).select(
         F.md5("_metadata.file_path").alias("run_id"),
         F.col("_metadata.file_path").alias("source"),
         F.current_timestamp().alias("created_at"),
