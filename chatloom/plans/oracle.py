@@ -710,3 +710,5 @@ SQL: dict[str, str] = {
         (*PLAIN, DOCS),
     ),
 }
+# Byte ranges give what whole documents give.
+SQL |= {"split_exports": SQL["read_exports"], "split_file_report": SQL["export_file_report"]}

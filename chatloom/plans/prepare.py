@@ -17,13 +17,16 @@ from chatloom.operators.turns import reviewed_blocks
 from chatloom.session import land, scratch_scope
 from chatloom.sinks import runs
 from chatloom.sources.exports import (
+    WHOLE_BYTES,
+    dir_file_report,
     export_file_report,
     export_messages,
-    oversized_files,
+    has_larger_files,
     read_documents,
-    read_export_dir,
     read_exports,
+    single_chats,
 )
+from chatloom.sources.split import raw_lines, split_exports, split_messages
 
 
 def message_blocks(
@@ -51,9 +54,8 @@ def prepare_chats(raw: DataFrame, cfg: PrepConfig, counter=DEFAULT_COUNTER) -> D
     return reviewed_blocks(blocks, cfg, counter)
 
 
-def land_messages(chats: DataFrame) -> DataFrame:
-    """Messages of chat texts as Parquet, with ``ts`` parsed for pushdown."""
-    messages = export_messages(chats)
+def landed_messages(messages: DataFrame) -> DataFrame:
+    """Messages as Parquet, with ``ts`` parsed for pushdown."""
     return land(messages.withColumn("ts", parse_timestamp(F.col("date"))), "messages")
 
 
@@ -66,32 +68,34 @@ def prepare_export(
     fine_tune: FineTuneConfig = FineTuneConfig(),
     counter=DEFAULT_COUNTER,
     one_chat_per_file: bool = False,
+    whole_bytes: int = WHOLE_BYTES,
 ) -> DataFrame:
     """A whole run from exported files; an input without any chat is an error.
 
     The verdict of every file is written as one more dataset of the run, so that
-    files without chats leave a trace.
+    files without chats leave a trace. Documents of more than ``whole_bytes`` are
+    read in byte ranges, their messages never pass through a row per chat. In
+    directory mode (``one_chat_per_file``) only ``*.json`` files are read, and the
+    large ones may hold lists of chats as well.
     """
+    glob = "*.json" if one_chat_per_file else None
+    columns = ["source", "status", "n_chats"]
     with scratch_scope(spark):
+        documents = read_documents(spark, path, glob, whole_bytes)
         if one_chat_per_file:
-            chats = read_export_dir(spark, path)
-            report = None
+            chats, report = single_chats(documents), dir_file_report(documents)
         else:
-            documents = read_documents(spark, path)
-            chats = read_exports(documents)
-            columns = ["source", "status", "n_chats"]
-            report = export_file_report(documents).select(columns).union(
-                oversized_files(spark, path).select(columns)
-            )
-        chats = land(chats, "chats")
-        if chats.isEmpty():
+            chats, report = read_exports(documents), export_file_report(documents)
+        chats, report = land(chats, "chats"), report.select(columns)
+        found = None
+        if has_larger_files(spark, path, glob, whole_bytes):
+            found = split_exports(spark, path, glob, whole_bytes)
+            report = report.union(found.report.select(columns))
+        if chats.isEmpty() and (found is None or found.chats.isEmpty()):
             raise ValueError(f"no valid chats in {path}")
-        if report is not None:
-            lines = report.select(
-                F.lit(run_id).alias("run_id"), F.to_json(F.struct(*columns)).alias("value")
-            )
-            runs.write_dataset(lines, bases, runs.FILES)
-        return _write_landed(chats, bases, run_id, cfg, fine_tune, counter)
+        lines = report.select(F.lit(run_id).alias("run_id"), F.to_json(F.struct(*columns)).alias("value"))
+        runs.write_dataset(lines, bases, runs.FILES)
+        return _write_landed(chats, bases, run_id, cfg, fine_tune, counter, found)
 
 
 def write_run(
@@ -111,11 +115,15 @@ def write_run(
         return _write_landed(land(chats, "chats"), bases, run_id, cfg, fine_tune, counter)
 
 
-def _write_landed(chats, bases, run_id, cfg, fine_tune, counter) -> DataFrame:
+def _write_landed(chats, bases, run_id, cfg, fine_tune, counter, found=None) -> DataFrame:
     spark = chats.sparkSession
-    chats = chats.withColumn("run_id", F.lit(run_id))
-    runs.write_dataset(runs.raw_lines(chats), bases, runs.RAW)
-    reviewed = land(prepare_chats(land_messages(chats), cfg, counter), "blocks")
+    run = F.lit(run_id).alias("run_id")
+    raw, messages = runs.raw_lines(chats.withColumn("run_id", run)), export_messages(chats)
+    if found is not None:
+        raw = raw.union(raw_lines(found).select(run, "value"))
+        messages = messages.unionByName(split_messages(found))
+    runs.write_dataset(raw, bases, runs.RAW)
+    reviewed = land(prepare_chats(landed_messages(messages.withColumn("run_id", run)), cfg, counter), "blocks")
     write_outputs(reviewed, bases, cfg)
     totals = stats.chat_stats(reviewed)
     totals = spark.createDataFrame(totals.collect(), totals.schema)  # one row

@@ -22,7 +22,7 @@ from chatloom.plans import adapters as ad
 from chatloom.plans.prepare import message_blocks, prepare_chats, write_run
 from chatloom.session import scratch_path
 from chatloom.sinks import runs
-from chatloom.sources import exports, records
+from chatloom.sources import exports, records, split
 from chatloom.streaming import incremental
 
 CFG = PrepConfig("Me", min_tokens=100, max_tokens=300, now=datetime(2024, 6, 1))
@@ -721,6 +721,21 @@ def export_file_report(spark, sf_dir):
     )
 
 
+@query
+def split_exports(spark, sf_dir):
+    """The messages of ``read_exports``, with every document read in byte ranges."""
+    rows = split.split_messages(split.split_exports(spark, exported(spark, sf_dir)))
+    return rows.select("name", "type", F.col("from").alias("sender"), "date", body_text().alias("body"))
+
+
+@query
+def split_file_report(spark, sf_dir):
+    report = split.split_exports(spark, exported(spark, sf_dir, True)).report
+    return report.select(
+        document_number().alias("doc"), "status", F.col("n_chats").cast("bigint").alias("n_chats")
+    )
+
+
 @query
 def write_raw(spark, sf_dir):
     base = written_run(spark, sf_dir)

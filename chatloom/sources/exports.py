@@ -1,8 +1,8 @@
 """Read messenger exports: JSON documents that hold one or many chats.
 
-A document is a list of chats, an object with ``chats.list``, or one chat. A
-JSON document cannot be split, so one file is one row. It is taken apart level
-by level as JSON text (chats, then messages), which keeps every field and has
+A document is a list of chats, an object with ``chats.list``, or one chat. Files
+of ordinary size are one row each; ``sources.split`` reads larger ones with the
+same result. A document is taken apart level by level as JSON text (chats, then messages), which keeps every field and has
 no limit but that of a string; only single messages become VARIANT values.
 Everything after the first explode is spread by chat.
 """
@@ -14,37 +14,34 @@ from pyspark.sql import functions as F
 
 from chatloom.schema import ENTITY
 
-OK, UNPARSEABLE, NO_CHATS, TOO_LARGE = "ok", "unparseable", "no valid chats", "too large"
+OK, UNPARSEABLE, NO_CHATS = "ok", "unparseable", "no valid chats"
 
-# A row holds a string of 2 GiB at most; larger files are reported, not read.
-MAX_DOCUMENT_BYTES = 2_000_000_000
+# Larger documents are read in byte ranges (``sources.split``).
+WHOLE_BYTES = 256 << 20
 
 TEXTS = "array<string>"
 
 
-def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One row per readable file below ``path``: ``source`` and its ``document`` text."""
+def read_documents(spark: SparkSession, path: str, glob: str | None = None, up_to: int = WHOLE_BYTES) -> DataFrame:
+    """One row per file of at most ``up_to`` bytes below ``path``: ``source`` and ``document`` text."""
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = (
         # As an argument: the method's default replaces an option of the reader.
         reader.text(path, wholetext=True)
-        .filter(F.col("_metadata.file_size") <= MAX_DOCUMENT_BYTES)
+        .filter(F.col("_metadata.file_size") <= up_to)
         .select(F.col("_metadata.file_path").alias("source"), "value")
     )
     return parse_documents(files)
 
 
-def oversized_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Report rows of the files that ``read_documents`` leaves out for their size."""
+def has_larger_files(spark: SparkSession, path: str, glob: str | None = None, above: int = WHOLE_BYTES) -> bool:
+    """Whether any file exceeds ``above`` bytes; contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    large = reader.load(path).filter(F.col("length") > MAX_DOCUMENT_BYTES)
-    return large.select(  # the contents are not read
-        F.col("path").alias("source"), F.lit(TOO_LARGE).alias("status"), F.lit(0).alias("n_chats")
-    )
+    return not reader.load(path).filter(F.col("length") > above).select("path").isEmpty()
 
 
 def parse_documents(files: DataFrame) -> DataFrame:
@@ -135,12 +132,26 @@ def read_exports(documents: DataFrame) -> DataFrame:
 
 
 def read_export_dir(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """One chat per matching file, keyed in name order; broken files are left out."""
-    documents = read_documents(spark, path, glob=glob)
+    """One chat per matching file, keyed in name order; broken files are left out.
+
+    ``dir_file_report`` tells of those.
+    """
+    return single_chats(read_documents(spark, path, glob=glob))
+
+
+def single_chats(documents: DataFrame) -> DataFrame:
     chats = documents.select("source", _compact(F.col("document")).alias("chat"))
     return _named(chats.filter("chat is not null"), [], F.col("source"))
 
 
+def dir_file_report(documents: DataFrame) -> DataFrame:
+    """Verdict per file of a directory with one chat in each."""
+    readable = is_value(F.col("document"))
+    return documents.select(
+        "source", F.when(readable, OK).otherwise(UNPARSEABLE).alias("status"), readable.cast("int").alias("n_chats")
+    )
+
+
 def _named(chats: DataFrame, others: list[str], key: Column) -> DataFrame:
     head = F.from_json("chat", "name string, type string")
     return chats.select(

@@ -43,7 +43,7 @@ COMMA, COLON, OPEN, CLOSE, LIST, END = b",:{}[]"
 BLANKS = b" \t\r\n"
 
 
-def text_ranges(spark: SparkSession, path: str, glob: str | None = None, above: int = 0) -> DataFrame:
+def text_ranges(spark: SparkSession, path: str | list[str], glob: str | None = None, above: int = 0) -> DataFrame:
     """Texts between closing braces of the files of more than ``above`` bytes.
 
     Rows of one range (``source, start``) are in file order inside a partition.
@@ -330,7 +330,7 @@ class SplitExports:
     report: DataFrame
 
 
-def split_exports(spark: SparkSession, path: str, glob: str | None = None, above: int = 0) -> SplitExports:
+def split_exports(spark: SparkSession, path: str | list[str], glob: str | None = None, above: int = 0) -> SplitExports:
     """Chats and messages of all files of more than ``above`` bytes below ``path``.
 
     Equal to ``read_exports`` with ``export_messages``, for documents and chats
@@ -446,6 +446,21 @@ def _assembled(parts: DataFrame, states: DataFrame) -> SplitExports:
     return SplitExports(named, texts, report)
 
 
+def split_messages(found: SplitExports, files: DataFrame | None = None) -> DataFrame:
+    """The messages field by field, as ``export_messages`` gives them.
+
+    ``files`` may add columns by ``source``, in front of the others.
+    """
+    key = F.format_string("%s#%09d", "source", "ordinal").alias("chat_key")
+    named = found.chats.select("source", "ordinal", key, "name", "type")
+    others = []
+    if files is not None:
+        others = [c for c in files.columns if c != "source"]
+        named = named.join(files, "source")
+    texts = found.messages.join(named, ["source", "ordinal"])
+    return exports.message_fields(texts.select(*others, "chat_key", "name", "type", "pos", "text"))
+
+
 def raw_lines(found: SplitExports, messages_per_line: int = 100_000) -> DataFrame:
     """``source, ordinal, value``: chats as JSON, a long one as several lines.
 
@@ -458,4 +473,6 @@ def raw_lines(found: SplitExports, messages_per_line: int = 100_000) -> DataFram
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), ",").alias("inside"))
     )
     own = found.chats.select("source", "ordinal", "opening", "closing").join(lines, ["source", "ordinal"], "left")
-    return own.select("source", "ordinal", F.concat("opening", F.coalesce("inside", F.lit("")), "closing").alias("value"))
+    value = F.concat("opening", F.coalesce("inside", F.lit("")), "closing")
+    # Line breaks of JSON are layout.
+    return own.select("source", "ordinal", F.translate(value, "\r\n", "  ").alias("value"))

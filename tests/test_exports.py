@@ -186,6 +186,50 @@ def test_one_document_that_breaks_the_plan_fails_alone(spark, landing, tmp_path,
     assert [rows[f"{n}.json"].status for n in ("list", "object", "single")] == ["completed"] * 3
 
 
+def outputs(spark, base, run_id):
+    lines = spark.read.text(base).filter(F.col("run_id") == run_id).collect()
+    # Raw lines of byte ranges keep their layout.
+    value = lambda r: json.dumps(json.loads(r.value), sort_keys=True)
+    return sorted((r["data"], value(r)) for r in lines if r["data"] != runs.METADATA or "uuid" not in r.value)
+
+
+def test_a_run_in_byte_ranges_equals_a_run_of_whole_documents(spark, landing, tmp_path):
+    (tmp_path / "exports" / "lines.json").write_text(json.dumps([ALICE, {**ALICE, "name": "B"}], indent=2), encoding="utf-8")
+    for whole_bytes, run in ((exports.WHOLE_BYTES, "a" * 32), (900, "b" * 32)):
+        prepare_export(spark, landing, [str(tmp_path / "out")], run, CFG, whole_bytes=whole_bytes)
+    first, second = (outputs(spark, str(tmp_path / "out"), c * 32) for c in "ab")
+    assert first == second and len(first) > 30
+
+
+def test_a_batch_reads_large_files_in_ranges(spark, landing, tmp_path):
+    files = incremental.listed(spark.read.format("binaryFile").load(landing))
+    found = []
+    for whole_bytes in (exports.WHOLE_BYTES, 900):
+        out = str(tmp_path / f"out{whole_bytes}")
+        incremental.process_batch(files, 0, out, CFG, whole_bytes=whole_bytes)
+        ledger = incremental.read_ledger(spark, out).drop("started_at", "completed_at").orderBy("source").collect()
+        found.append((ledger, sorted((r.run_id, r["data"], json.dumps(json.loads(r.value), sort_keys=True)) for r in spark.read.text(f"{out}/runs").collect())))
+    assert found[0] == found[1]
+
+
+def test_halving_finds_bad_files_with_few_plans(spark):
+    class File:
+        def __init__(self, n):
+            self.run_id, self.source, self.created_at, self.n = str(n), f"f{n}", None, n
+
+    plans = []
+
+    def prepare(files):
+        plans.append(len(files))
+        if any(f.n == 437 for f in files):
+            raise RuntimeError("boom")
+        return incremental._ledger_rows(incremental._submitted(spark, files).withColumns({"status": F.lit(exports.OK), "n_chats": F.lit(1)}))
+
+    rows = incremental._attempt(spark, [File(n) for n in range(1000)], prepare).collect()
+    assert len(rows) == 1000 and len(plans) <= 21
+    assert [(r.source, r.error) for r in rows if r.status == "failed"] == [("f437", "boom")]
+
+
 def test_a_large_document_loses_nothing(spark, tmp_path):
     """One valid document of 150 MB, above the limit of a single VARIANT."""
     n, text = 15_000, "x" * 10_000
@@ -232,12 +276,7 @@ def test_long_conversations_stay_whole(spark, tmp_path, turns):
 
 def test_repeating_a_batch_changes_nothing(spark, landing, tmp_path):
     out = str(tmp_path / "out")
-    files = spark.read.text(landing, wholetext=True).select(
-        F.md5("_metadata.file_path").alias("run_id"),
-        F.col("_metadata.file_path").alias("source"),
-        F.current_timestamp().alias("created_at"),
-        "value",
-    )
+    files = incremental.listed(spark.read.format("binaryFile").load(landing))
     for _ in range(2):
         incremental.process_batch(files, 0, out, CFG)
         assert incremental.read_ledger(spark, out).count() == len(VERDICTS)
