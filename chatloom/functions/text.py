@@ -46,11 +46,11 @@ def message_text(entities: Column, sticker: Column) -> Column:
 
 def parse_timestamp(text: Column) -> Column:
     """ISO text to TIMESTAMP_NTZ (wall clock, zone suffix ignored), else NULL."""
-    part = lambda i: F.regexp_extract(text, BASIC_TIMESTAMP, i)
-    two = lambda i: F.when(part(i) == "", "00").otherwise(part(i))
+    # Basic form: the digits, missing ones of the time as zeros, spelled out.
+    digits = F.rpad(F.regexp_replace(text, BASIC_TIMESTAMP, "$1$2$3$4$5$6"), 14, "0")
     spelled = F.concat(
-        part(1), F.lit("-"), part(2), F.lit("-"), part(3),
-        F.lit("T"), two(4), F.lit(":"), two(5), F.lit(":"), two(6), part(7),
+        F.regexp_replace(digits, r"^(.{4})(..)(..)(..)(..)(..)$", "$1-$2-$3T$4:$5:$6"),
+        F.regexp_extract(text, BASIC_TIMESTAMP, 7),
     )
     return F.when(text.rlike(ISO_TIMESTAMP), text.try_cast("timestamp_ntz")).when(
         text.rlike(BASIC_TIMESTAMP), spelled.try_cast("timestamp_ntz")
