@@ -89,7 +89,7 @@ def parts_of(found):
     return rows(chats), rows(messages), rows(found.report)
 
 
-@pytest.mark.parametrize("range_bytes", [150, 997, 1 << 20])
+@pytest.mark.parametrize("range_bytes", [250, 997])
 def test_any_range_gives_the_same_rows(spark, folder, whole, range_bytes, monkeypatch):
     monkeypatch.setattr(split, "SENT_RANGES", 0 if range_bytes == 997 else 100_000)
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(range_bytes))
