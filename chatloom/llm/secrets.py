@@ -6,17 +6,26 @@ alphabet that holds it) and three tests under uniform symbols of that alphabet:
 chi-squared uniformity, runs above and below the middle, and serial
 correlation. Fisher's sum of the three p-values is the score.
 
-False discoveries are controlled per length: natural words (letters of one
-case) are scored the same way, over all documents, and tell how often an
-ordinary token of that length passes the battery, once for encodings of few
-symbols and once, scored as lower-case letters with digits, for larger ones. Candidates get that share as
-p-value and the Benjamini-Hochberg step over all candidates of the corpus sets
-the cut. Scores are counted in bins, so what reaches the driver is a table of
-length classes times bins, whatever the number of documents.
+Strings of one case have no digits or cases to tell them from words, so they are
+judged by a letter model instead: the mean log-likelihood of their letter pairs
+against uniform letters, if the battery does not refute uniform symbols.
+
+False discoveries are controlled per length and group of encodings. The null is
+made of the corpus itself, of all documents and at any size: the words of a
+document below 20 letters are joined and cut into strings of each length class,
+which are scored like tokens, as letters, as letters with digits, with a capital
+at each word and with hyphens between words. The share of null strings that look
+at least as random is the p-value of a token (with a log-linear tail), and the
+Benjamini-Hochberg step over all tokens of a group sets its cut. Scores are
+counted in bins, so what reaches the driver is a table of length classes times
+bins and one of letter pairs, whatever the number of documents.
 
 Defined results: missing and empty texts have no spans; repeated rows are
-scanned alike; other columns are ignored; without any natural word of a length
-class its candidates have p-value 1 and are not reported.
+scanned alike; other columns are ignored, whatever their names; a text of any
+length is scanned whole; equal scores are accepted or rejected together; an empty
+table gives no rows. Digits alone are no tokens, since numbers follow the same law.
+A length class without null strings takes over the shorter ones; without any null
+string the p-value is 1 and nothing is reported.
 """
 
 from __future__ import annotations
@@ -31,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatloom.llm.scan import Slice, lists, runs, slices
+from chatloom.llm.scan import Slice, runs, slices
 from chatloom.session import land, ship_package
 
 KINDS = ("assign", "access", "hex", "random")
@@ -41,6 +50,15 @@ RATE = 0.01
 BINS = 120
 # Lengths are classed by the first bound they do not exceed.
 LENGTHS = np.array([20, 21, 23, 26, 31, 39, 63, 127, 1 << 40])
+# Null strings have the least length of each class.
+NULL_LENGTHS = np.array([20, *(LENGTHS[:-1] + 1)])
+# Groups of encodings: one case, one case with digits, both cases or signs.
+ONE_CASE, WITH_DIGITS, MIXED = range(3)
+GROUPS = 3
+# Uniform letters are refuted below this p-value of the battery.
+REFUTED = 1e-4
+# Letter-pair scores from -4 to 2 natural units fill the bins.
+PAIR_FLOOR, PAIR_STEPS = -4.0, BINS / 6.0
 
 ASSIGN = re.compile(
     rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,9 +94,11 @@ _IN = np.array(
 )
 _TOKEN = _CODE[-1] >= 0
 _HEX = _CODE[1] >= 0
-# Encodings from here on mix letters with digits or cases.
-_MIXED_AT = ALPHABETS.index(DIGITS + LOWER)
 _LOWER_AT, _UPPER_AT = ALPHABETS.index(LOWER), ALPHABETS.index(UPPER)
+_LOWER_DIGITS_AT = ALPHABETS.index(DIGITS + LOWER)
+_GROUP = np.where(_SIZE > 36, MIXED, WITH_DIGITS)
+_GROUP[[_LOWER_AT, _UPPER_AT]] = ONE_CASE
+_LETTER = np.isin(np.arange(256), [ord(c) for c in LOWER + UPPER])
 
 
 def _normal_tail(z: np.ndarray) -> np.ndarray:
@@ -113,8 +133,8 @@ def battery(
     code = _CODE[encoding[owner], chars].astype(np.int64)
     size = _SIZE[encoding].astype(np.float64)
 
-    counts = np.zeros((len(n), int(_SIZE.max())))
-    np.add.at(counts, (owner, code), 1.0)
+    width = int(_SIZE.max())
+    counts = np.bincount(owner * width + code, minlength=len(n) * width).reshape(len(n), width)
     chi = (counts * counts).sum(axis=1) * size / n - n
     deviation = np.sqrt(2.0 * (size - 1) * (n - 1) / n)
     # Wilson-Hilferty on a chi-squared law with the mean and variance of the statistic.
@@ -156,6 +176,128 @@ def score_bin(p: np.ndarray) -> np.ndarray:
     return np.minimum(BINS - 1, (-10 * np.log10(np.clip(p, 1e-300, 1))).astype(np.int64))
 
 
+def pair_score(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pairs: np.ndarray
+) -> np.ndarray:
+    """Mean log-likelihood of the letter pairs of each token, against uniform letters."""
+    letters = (data | 32).astype(np.int64) - 97
+    valid = (letters[:-1] >= 0) & (letters[:-1] < 26) & (letters[1:] >= 0) & (letters[1:] < 26)
+    gain = np.where(valid, pairs[np.where(valid, letters[:-1] * 26 + letters[1:], 0)], 0.0)
+    sums = np.concatenate([[0.0], np.cumsum(gain)])
+    return (sums[ends - 1] - sums[starts]) / (ends - starts - 1)
+
+
+def pair_model(counts: dict[int, int]) -> np.ndarray:
+    """log(P(second letter | first letter) * 26) of the 676 letter pairs."""
+    table = np.full(26 * 26, 0.5)
+    for pair, n in counts.items():
+        table[pair] += n
+    table = table.reshape(26, 26)
+    return np.log(26 * table / table.sum(axis=1, keepdims=True)).ravel()
+
+
+def _one_case_bin(p: np.ndarray, score: np.ndarray) -> np.ndarray:
+    bins = np.clip((score - PAIR_FLOOR) * PAIR_STEPS, 0, BINS - 1).astype(np.int64)
+    return np.where(p < REFUTED, BINS - 1, bins)
+
+
+def _code(group, starts: np.ndarray, ends: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    return (group * len(LENGTHS) + length_class(ends - starts)) * BINS + bins
+
+
+def token_codes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pairs: np.ndarray
+) -> np.ndarray:
+    """(group, length class, bin) of each token as one number; -1 for digits alone."""
+    encoding, p = battery(data, starts, ends)
+    group = _GROUP[encoding]
+    bins = score_bin(p)
+    one_case = group == ONE_CASE
+    if one_case.any():
+        score = pair_score(data, starts[one_case], ends[one_case], pairs)
+        bins[one_case] = _one_case_bin(p[one_case], score)
+    return np.where(encoding == 0, -1, _code(group, starts, ends, bins))
+
+
+class Words:
+    """The short words of each document of a slice, joined without spaces."""
+
+    def __init__(self, piece: Slice) -> None:
+        starts, ends = runs(_TOKEN[piece.data])
+        others = np.concatenate([[0], np.cumsum(~_LETTER[piece.data])])
+        n = ends - starts
+        keep = (n >= 2) & (n < MIN_TOKEN) & (others[ends] == others[starts])
+        self.starts, self.n = starts[keep], n[keep]
+        self.doc = piece.owner(self.starts)
+        self.data, self.n_docs = piece.data, len(piece)
+
+    def joined(self, sign: int | None = None, capitals: bool = False) -> tuple:
+        """Bytes of all documents and the end of each; ``sign`` follows every word."""
+        n = self.n + (sign is not None)
+        first = np.cumsum(n) - n
+        at = np.arange(n.sum()) - np.repeat(first, n)
+        inside = at < np.repeat(self.n, n)
+        source = np.repeat(self.starts, n) + np.where(inside, at, 0)
+        out = self.data[source] | 32
+        if sign is not None:
+            out = np.where(inside, out, sign).astype(np.uint8)
+        if capitals:
+            out[first] -= 32
+        return out, np.cumsum(np.bincount(self.doc, weights=n, minlength=self.n_docs)).astype(np.int64)
+
+    def strings(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the null strings of each document; their lengths take turns."""
+        turn, bounds = int(NULL_LENGTHS.sum()), np.cumsum(NULL_LENGTHS)
+        sizes = np.diff(ends, prepend=0)
+        n = sizes // turn * len(bounds) + np.searchsorted(bounds, sizes % turn, side="right")
+        doc = np.repeat(np.arange(len(sizes)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        stop = (ends - sizes)[doc] + at // len(bounds) * turn + bounds[at % len(bounds)]
+        return stop - NULL_LENGTHS[at % len(bounds)], stop
+
+
+def null_codes(piece: Slice, pairs: np.ndarray) -> np.ndarray:
+    """Codes of the null strings of a slice."""
+    words = Words(piece)
+    codes = [np.zeros(0, dtype=np.int64)]
+    if not len(words.n):
+        return codes[0]
+    data, bounds = words.joined()
+    starts, ends = words.strings(bounds)
+    if len(starts):
+        _, p = battery(data, starts, ends, _LOWER_AT)
+        codes.append(_code(ONE_CASE, starts, ends, _one_case_bin(p, pair_score(data, starts, ends, pairs))))
+        _, p = battery(data, starts, ends, _LOWER_DIGITS_AT)
+        codes.append(_code(WITH_DIGITS, starts, ends, score_bin(p)))
+    for style in ({"capitals": True}, {"sign": ord("-")}):
+        data, bounds = words.joined(**style)
+        starts, ends = words.strings(bounds)
+        if len(starts):
+            encoding, p = battery(data, starts, ends)
+            # A string inside one word has no capital or sign.
+            mixed = _GROUP[encoding] == MIXED
+            codes.append(_code(MIXED, starts, ends, score_bin(p))[mixed])
+    return np.concatenate(codes)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each letter pair occurs in the short words of each slice."""
+    for batch in batches:
+        for piece in slices(batch.column("text")):
+            words = Words(piece)
+            if not len(words.n):
+                continue
+            data, ends = words.joined()
+            letters = data.astype(np.int64) - 97
+            same = np.ones(len(letters) - 1, dtype=bool)
+            same[ends[(ends > 0) & (ends < len(letters))] - 1] = False
+            counts = np.bincount((letters[:-1] * 26 + letters[1:])[same], minlength=26 * 26)
+            seen = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["pair", "n"]
+            )
+
+
 def _base_spans(piece: Slice) -> list[list[tuple[int, int, int]]]:
     """(start, end, kind) in bytes of each document, by pattern."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in piece.texts]
@@ -193,14 +335,15 @@ _SCHEMA = (
     T.StructType()
     .add("base_sha256", T.StringType())
     .add("spans", T.ArrayType(_SPAN))
-    .add("words", T.ArrayType(T.IntegerType()))
+    .add("nulls", T.ArrayType(T.StructType().add("code", "integer").add("n", "long")))
 )
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
     span_type = pa.struct(
         [("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("bin", pa.int32())]
     )
+    null_type = pa.struct([("code", pa.int32()), ("n", pa.int64())])
     for batch in batches:
         texts = batch.column("text")
         for piece in slices(texts):
@@ -209,35 +352,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = ends - starts >= MIN_TOKEN
             starts, ends = starts[keep], ends[keep]
             extra: list[list] = [[] for _ in piece.texts]
-            words: list[list[int]] = [[] for _ in piece.texts]
             if len(starts):
-                encoding, p = battery(piece.data, starts, ends)
-                bins = score_bin(p)
-                classes = length_class(ends - starts)
+                codes = token_codes(piece.data, starts, ends, pairs)
                 owners = piece.owner(starts)
-                # A capital at the start is still a natural word.
-                rest_lower = np.bitwise_and.reduceat(
-                    _IN[piece.data], np.stack([starts + 1, ends], axis=1).ravel()
-                )[::2]
-                natural = (
-                    (encoding == _LOWER_AT)
-                    | (encoding == _UPPER_AT)
-                    | ((rest_lower >> _LOWER_AT) & 1 == 1)
-                )
-                codes = ((encoding >= _MIXED_AT) * len(LENGTHS) + classes) * BINS + bins
-                as_mixed = np.zeros_like(codes)
-                if natural.any():
-                    small = np.where((piece.data >= 65) & (piece.data <= 90), piece.data + 32, piece.data)
-                    _, p = battery(small, starts[natural], ends[natural], _MIXED_AT)
-                    as_mixed[natural] = (len(LENGTHS) + classes[natural]) * BINS + score_bin(p)
-                for s, e, c, m, d, word in zip(starts, ends, codes, as_mixed, owners, natural):
-                    if word:
-                        words[d] += (int(m),) if c >= len(LENGTHS) * BINS else (int(c), int(m))
-                        continue
+                for s, e, c, d in zip(starts, ends, codes, owners):
                     s, e = int(s - piece.starts[d]), int(e - piece.starts[d])
-                    if not any(x[0] < e and s < x[1] for x in base[d]):
+                    if c >= 0 and not any(x[0] < e and s < x[1] for x in base[d]):
                         extra[d].append((s, e, int(c)))
-            hashes, all_spans, counts = [], [], []
+            null = null_codes(piece, pairs)
+            # Distinct codes of the slice with their counts, at its first document.
+            seen, times = np.unique(null, return_counts=True)
+            words = [{"code": int(c), "n": int(n)} for c, n in zip(seen, times)]
+            hashes, all_spans = [], []
             for d, text in enumerate(piece.texts):
                 spans = _points(text, base[d])
                 joined = ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
@@ -248,53 +374,68 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for s, e, c in _points(text, extra[d])
                 ]
                 all_spans.append(rows)
-                counts.append(len(words[d]))
             others = [
                 batch.column(i).slice(piece.first, len(piece))
                 for i, f in enumerate(batch.schema)
                 if f.name != "text"
             ]
-            flat = pa.array([c for w in words for c in w], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     *others,
                     pa.array(hashes, pa.string()),
                     pa.array(all_spans, pa.list_(span_type)),
-                    lists(np.array(counts, dtype=np.int64), flat),
+                    pa.array([words] + [[]] * (len(piece) - 1), pa.list_(null_type)),
                 ],
                 [*[f.name for f in batch.schema if f.name != "text"], *_SCHEMA.fieldNames()],
             )
 
 
-def discovery_cuts(words: dict[int, int], candidates: dict[int, int], rate: float) -> list[int]:
-    """Largest accepted bin of each class (-1: none), by Benjamini-Hochberg.
+def null_shares(counts: np.ndarray) -> np.ndarray:
+    """p-value of each bin: the share of null strings in bins up to it.
 
-    Keys are ``class * BINS + bin``, where classes are lengths for small and then
-    for mixed encodings; small bins look random. The p-value of a bin is the
-    share of natural words of the class that score at least as random.
+    Where fewer than ten null strings lie, the line through the logarithms of the
+    tenth string's share and of a share of one in ten is continued. Scores of null
+    strings fall off faster than that, so the line errs to the safe side, and the
+    resolution does not depend on the size of the corpus.
     """
-    n_classes = 2 * len(LENGTHS)
+    total, below = counts.sum(), np.cumsum(counts)
+    if not total:
+        return np.ones(len(counts))
+    share = (below + 1) / (total + 1)
+    low, high = (int(np.argmax(below >= n)) for n in (10, max(10, 0.1 * total)))
+    if total < 100 or low == high:
+        return share
+    slope = np.log(below[high] / below[low]) / (high - low)
+    line = below[low] / total * np.exp(-slope * (low - np.arange(len(counts))))
+    return np.where(below < 10, np.maximum(line, below / total), share)
+
+
+def discovery_cuts(nulls: dict[int, int], candidates: dict[int, int], rate: float) -> list[int]:
+    """Largest accepted bin of each class (-1: none), by Benjamini-Hochberg in each group.
+
+    Keys are ``class * BINS + bin``, where classes are lengths within groups of
+    encodings; small bins look random. The p-value of a bin is the share of null
+    strings of the class that score at least as random.
+    """
+    n_classes = GROUPS * len(LENGTHS)
     word = np.zeros((n_classes, BINS))
     found = np.zeros((n_classes, BINS))
-    for table, counts in ((word, words), (found, candidates)):
+    for table, counts in ((word, nulls), (found, candidates)):
         for code, n in counts.items():
             table[code // BINS, code % BINS] = n
-    totals = word.sum(axis=1, keepdims=True)
-    p = np.where(totals > 0, (np.cumsum(word, axis=1) + 1) / (totals + 1), 1.0)
-    # The tests only gain power with length: a length with few natural words
+    p = np.stack([null_shares(row) for row in word])
+    # The tests only gain power with length: a length with few null strings
     # takes over the share of shorter ones.
-    p = np.minimum.accumulate(p.reshape(2, len(LENGTHS), BINS), axis=1).reshape(p.shape)
-    n_all = found.sum()
-    if not n_all:
-        return [-1] * n_classes
-    order = np.argsort(p, axis=None, kind="stable")
-    accepted = np.cumsum(found.ravel()[order])
-    sorted_p = p.ravel()[order]
-    passing = np.flatnonzero((sorted_p <= rate * accepted / n_all) & (accepted > 0))
-    if not len(passing):
-        return [-1] * n_classes
-    cut = sorted_p[passing[-1]]
-    return [int((row <= cut).sum()) - 1 for row in p]
+    p = np.minimum.accumulate(p.reshape(GROUPS, len(LENGTHS), BINS), axis=1).reshape(p.shape)
+    cuts: list[int] = []
+    for shares, n in zip(np.split(p, GROUPS), np.split(found, GROUPS)):
+        order = np.argsort(shares, axis=None, kind="stable")
+        accepted = np.cumsum(n.ravel()[order])
+        ranked = shares.ravel()[order]
+        passing = np.flatnonzero((ranked <= rate * accepted / max(n.sum(), 1)) & (accepted > 0))
+        cut = ranked[passing[-1]] if len(passing) else -1.0
+        cuts += [int((row <= cut).sum()) - 1 for row in shares]
+    return cuts
 
 
 def find_secrets(
@@ -316,13 +457,26 @@ def _found(docs: DataFrame, rate: float, keep: tuple[str, ...], text_col: str) -
         *[F.col(c).alias(f"key_{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text")
     )
     fields = [f for f in picked.schema.fields if f.name != "text"]
-    scanned = land(picked.mapInArrow(_scan, T.StructType([*fields, *_SCHEMA.fields])), "secrets")
+    pairs = (
+        docs.select(F.col(text_col).alias("text"))
+        .mapInArrow(_count_pairs, "pair int, n long")
+        .groupBy("pair")
+        .agg(F.sum("n").alias("n"))
+    )
+    model = pair_model({r["pair"]: r["n"] for r in pairs.collect()})
+    scanned = land(
+        picked.mapInArrow(lambda rows: _scan(rows, model), T.StructType([*fields, *_SCHEMA.fields])),
+        "secrets",
+    )
 
     def histogram(codes):
-        rows = scanned.select(F.explode(codes).alias("code")).filter("code is not null")
-        return {r["code"]: r["count"] for r in rows.groupBy("code").count().collect()}
+        counts = codes.groupBy("code").agg(F.sum("n").alias("n"))
+        return {r["code"]: r["n"] for r in counts.collect()}
 
-    cuts = discovery_cuts(histogram("words"), histogram("spans.bin"), rate)
+    bins = scanned.select(F.explode("spans.bin").alias("code"), F.lit(1).alias("n"))
+    cuts = discovery_cuts(
+        histogram(scanned.select(F.inline("nulls"))), histogram(bins.filter("code is not null")), rate
+    )
     limit = F.array(*[F.lit(c) for c in cuts])
     passes = lambda x: x["bin"].isNull() | (
         x["bin"] % BINS <= F.get(limit, F.floor(x["bin"] / BINS).cast("int"))
