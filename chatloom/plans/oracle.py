@@ -617,6 +617,15 @@ SQL: dict[str, str] = {
   SELECT conv_id, turn, count(*) OVER w AS history_messages,
          (sum(length(text)) OVER w)::BIGINT AS history_chars
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "recent_history": """
+  SELECT conv_id, turn, n_earlier, n_history, prompt FROM (
+    SELECT conv_id, turn, role, greatest(row_number() OVER o - 3, 0)::BIGINT AS n_earlier,
+           count(*) OVER w AS n_history,
+           string_agg(coalesce(role, '') || ':' || coalesce(text, ''), chr(10)) OVER w AS prompt
+    FROM conversations
+    WINDOW o AS (PARTITION BY conv_id ORDER BY turn),
+           w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+  WHERE role = 'user'""",
     "validate_requests": """
   SELECT event_id, temperature, reason = 'ok' AS is_valid, reason
   FROM (SELECT event_id, temperature,

@@ -566,6 +566,23 @@ def rolling_history(spark, sf_dir):
     return history.union().select("conv_id", "turn", "history_messages", "history_chars")
 
 
+@query
+def recent_history(spark, sf_dir):
+    """What every user turn sends with a history of three turns."""
+    turns = ad.table(spark, sf_dir, "conversations")
+    histories = dialogue.recent_histories(
+        turns, "conv_id", "turn", ["role", "text"], 3, CFG.rows_per_segment, F.col("role") == "user"
+    )
+    line = lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit(":"), F.coalesce(m["text"], F.lit("")))
+    return histories.select(
+        "conv_id",
+        "turn",
+        "n_earlier",
+        F.size("history").cast("bigint").alias("n_history"),
+        F.array_join(F.transform("history", line), "\n").alias("prompt"),
+    )
+
+
 @query
 def validate_requests(spark, sf_dir):
     event = F.col("event_id")

@@ -36,7 +36,8 @@ def test_entry_counts_kept_blocks(spark):
 LOW_LIMIT = [
     "chronological", "message_gap", "time_sessions", "token_blocks", "train_blocks",
     "processed_chats", "write_run_layout", "read_train_jsonl", "chat_stats", "top_n_others",
-    "sender_ranking", "queue_position", "rolling_history", "event_token_blocks", "block_funnel",
+    "sender_ranking", "queue_position", "rolling_history", "recent_history",
+    "event_token_blocks", "block_funnel",
 ]
 
 

@@ -112,6 +112,25 @@ def test_history_is_the_same_with_segments(spark):
     assert [r[1] for r in sizes[0][:4]] == [1, 1, 2, 2] and len(sizes[0]) == 60
 
 
+@pytest.mark.parametrize("limit", [1000, 8])
+@pytest.mark.parametrize("last", [1, 4, 100])
+def test_recent_histories_of_long_and_short_conversations(spark, limit, last):
+    sizes = {None: 3, 0: 1, 1: 60, 2: 9}
+    rows = [(k, t, "user" if t % 2 else None, f"{k}-{t}") for k, n in sizes.items() for t in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    histories = dialogue.recent_histories(
+        turns, "conv_id", "turn", ["text"], last, limit, F.col("role") == "user"
+    )
+    found = {(r.conv_id, r.turn): (r.n_earlier, [m.text for m in r.history]) for r in histories.collect()}
+    expected = {
+        (k, t): (max(t + 1 - last, 0), [f"{k}-{i}" for i in range(max(t + 1 - last, 0), t + 1)])
+        for k, n in sizes.items()
+        for t in range(1, n, 2)
+    }
+    assert found == expected
+    assert dialogue.recent_histories(turns.limit(0), "conv_id", "turn", ["text"], last, limit).isEmpty()
+
+
 def test_request_rules(spark):
     good = "0123456789abcdef0123456789abcdef"
     talk = [("user", "x")]
