@@ -7,8 +7,9 @@ texts of its length are is rejected. Lengths with few training texts are judged
 by parts of that length cut from longer ones, or else as the nearest length.
 
 Training uses a bounded sample: at most ``PER_LANGUAGE`` texts of a language,
-those with the smallest hashes of their ids. Every text is predicted from all
-of its bytes.
+those with the smallest hashes of their ids, ties by hash of the text, repeated
+rows once; and at most ``MAX_LANGUAGES`` languages, those with most sampled texts,
+ties by name. Every text is predicted from all of its bytes.
 
 Defined results: a missing text, or one without any letter, is ``und`` with
 score 0 and rejected; without any training text every text is ``und``.
@@ -181,28 +182,36 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows(some, pa.nulls(len(some), pa.string()))
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+def train(
+    labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES
+) -> Model | None:
     """Model from rows of ``key`` (any hash), ``lang`` and ``text``, or None without rows."""
     ship_package(labelled.sparkSession)
-    ranks = Window.partitionBy("lang").orderBy("key")
-    # Ranking below a constant drops the rest of a language before the shuffle.
+    labelled = labelled.withColumn("text_hash", F.xxhash64("text"))
+    ranks = Window.partitionBy("lang").orderBy("key", "text_hash")
+    # Repeated rows count once, so that equal keys cannot widen the sample. Ranking
+    # below a constant drops the rest of a language before the second shuffle.
     lowest = (
-        labelled.select("lang", "key")
+        labelled.select("lang", "key", "text_hash")
+        .distinct()
         .withColumn("rank", F.row_number().over(ranks))
         .filter(F.col("rank") <= per_language)
         .groupBy("lang")
-        .agg(F.max("key").alias("key"))
+        .agg(F.max(F.struct("key", "text_hash")).alias("cut"), F.count(F.lit(1)).alias("n"))
     )
-    cuts = {r["lang"]: r["key"] for r in lowest.limit(MAX_LANGUAGES + 1).collect()}
-    if len(cuts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    largest = lowest.orderBy(F.desc("n"), "lang").limit(max_languages)
+    cuts = {r["lang"]: r["cut"] for r in largest.collect()}
     if not cuts:
         return None
     chosen = F.lit(False)
-    for lang, key in cuts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("key") <= key))
+    for lang, cut in cuts.items():
+        below = (F.col("key") < cut.key) | (
+            (F.col("key") == cut.key) & (F.col("text_hash") <= cut.text_hash)
+        )
+        chosen = chosen | ((F.col("lang") == lang) & below)
     rows = (
         labelled.filter(chosen)
+        .dropDuplicates(["lang", "key", "text_hash"])
         .select("lang", "text")
         .mapInArrow(_features, "lang string, slots array<int>, counts array<float>")
         .toArrow()

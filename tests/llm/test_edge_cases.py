@@ -141,3 +141,13 @@ def test_repeated_rows_without_an_id_leave_one(spark):
     rows = [(None, WORDS, "en", "a", 1)] * 3 + [(None, "other words than these", "en", "a", 1)]
     out = neardup.distinct_documents(spark.createDataFrame(rows, DOCS))
     assert out.count() == 2
+
+
+def test_language_training_with_equal_keys_and_many_languages(spark):
+    texts = [f"words of the text number {i} here" for i in range(30)] * 5
+    rows = [(7, lang, text) for lang in ("aa", "bb", "cc") for text in texts]
+    rows += [(7, "dd", "one more text")]
+    labelled = spark.createDataFrame(rows, "key long, lang string, text string")
+    model = language.train(labelled, per_language=10, max_languages=2)
+    assert list(model.languages) == ["aa", "bb"]
+    assert language.train(labelled.limit(0)) is None
