@@ -410,6 +410,32 @@ def test_short_fuzzy_passages(spark):
     assert {r.doc_id // 2 for r in found} == set(range(120))
 
 
+def test_passages_of_common_lines(spark):
+    """Documents that hold three common lines meet, however many hold one of them."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    words = lambda n: [word() for _ in range(n)]
+    lines = [words(20) for _ in range(3)]
+    rows = []
+    for i in range(20):
+        rows.append((i, [*words(30), *lines[0], *words(2), *lines[1], *words(2), *lines[2], *words(30)]))
+    rows += [(i, [*words(40), *lines[i % 3], *words(40)]) for i in range(20, 920)]
+    found = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    pairs = {(r.doc_id, r.match_id) for r in found.collect()}
+    assert {a for a, _ in pairs} == set(range(20)) and {b for _, b in pairs} <= set(range(20))
+
+
+def test_shards_do_not_change_passages(spark, monkeypatch):
+    rng = random.Random(8)
+    text = [" ".join(rng.choices([f"w{k}" for k in range(30)], k=200)) for _ in range(12)]
+    rows = [(i, f"{text[i % 12]} {text[(i * 5 + i // 12) % 12]}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = set(passages.shared_passages(docs).collect())
+    monkeypatch.setattr(passages, "PACK_BYTES", 3000)
+    assert set(passages.shared_passages(docs).collect()) == whole
+    assert {r.doc_id for r in whole} == set(range(40))
+
+
 def test_chains_equal_the_quadratic_recurrence():
     rng = random.Random(1)
     for _ in range(30):
