@@ -425,6 +425,23 @@ def test_passages_of_common_lines(spark):
     assert {a for a, _ in pairs} == set(range(20)) and {b for _, b in pairs} <= set(range(20))
 
 
+def test_no_passage_is_ruled_out():
+    """Chains that end as passages are reachable, also when words share a sketch."""
+    rng = np.random.default_rng(4)
+    reached = 0
+    for _ in range(400):
+        a = rng.integers(0, 5000, 150)
+        b = np.where(rng.random(150) < rng.choice([0.1, 0.2, 0.5]), rng.integers(0, 5000, 150), a)
+        n = int(rng.integers(2, 20))
+        b[70 : 70 + n + 4] = a[70 : 70 + n + 4]
+        points = list(range(70, 70 + n))
+        sketches = [(v % 256).astype(np.uint8) for v in (a, b)]
+        if passages.align(a.tolist(), b.tolist(), points, points):
+            reached += 1
+            assert passages.may_reach(*sketches, (70, 70), (74 + n, 74 + n))
+    assert 50 < reached < 350
+
+
 def test_shards_do_not_change_passages(spark, monkeypatch):
     rng = random.Random(8)
     text = [" ".join(rng.choices([f"w{k}" for k in range(30)], k=200)) for _ in range(12)]
