@@ -15,16 +15,16 @@ bands, so that the buckets of a large class agree on few leaders). Pairs whose
 signatures agree enough are verified by the exact multiset overlap of the whole
 texts, and verified links are joined to components.
 
-Buckets of more than ``SMALL`` texts are cut again by the keys of two and of three
-bands, with leaders of their own. What then still has several components goes on:
-in buckets of at most ``SMALL`` texts all texts of different components meet; in
-larger ones the ``HUBS`` texts with the most links so far (the original of many
-near copies, which most leaders are linked to) meet all texts outside their
-component, in rounds, until a round links less than one in ``WORTH`` of the texts
-it compares. Every step compares a text with a bounded number of others per
-bucket, so none grows with the square of a bucket. What this can miss are links
-inside families of many texts just below the threshold, where two texts agree in
-no cut bucket and neither leads.
+Then all others meet, but for pairs of one component. In buckets of at most
+``SMALL`` texts they become rows like those of the leaders. Larger buckets are cut
+into blocks of about ``BLOCK`` texts (fewer, if they are long), those of the
+bucket's largest component apart from the rest, and every pair of blocks that may
+hold a link is one group: it takes the pairs of different components whose
+signatures agree and whose first common band is this bucket, computes their exact
+overlaps as a matrix product, and returns a spanning forest of the links. So no
+join has a row per pair of a large bucket, a group holds two blocks, and no pair
+of a bucket is left out. The comparisons inside a family of many texts just below
+the threshold still grow with its square.
 
 Equal texts are one node from the start. Defined results: texts without words
 are classes of their own text (all empty and missing texts are equal); texts of
@@ -54,8 +54,9 @@ COMPONENTS = BANDS * ROWS
 # four standard deviations below the mean.
 LEAST_AGREEMENT = 0.6
 SMALL = 16  # texts of a bucket that may all meet
-HUBS = 3
-WORTH = 10
+BLOCK = 256  # texts of a block of a larger bucket
+BLOCK_WORDS = 1 << 18
+COLUMNS = 1 << 12  # shingles that a matrix product takes at once
 SENT_KEYS = 200_000  # text keys that are broadcast, of about 30 bytes
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -209,6 +210,105 @@ def _verify(threshold: float):
     return apply
 
 
+def _overlaps(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Summed minima of the weights of all multisets ``left`` (rows) and ``right``, given by their
+    distinct numbers; a number on both sides has no overlap with itself."""
+    n = max(left.max(), right.max()) + 1
+    shared = np.zeros((len(left), len(right)))
+    _, column, times = np.unique(item, return_inverse=True, return_counts=True)
+    often = times > 1
+    number = np.cumsum(often) - 1
+    keep = often[column]
+    doc, column, weight = doc[keep], number[column[keep]], weight[keep]
+    order = np.argsort(column, kind="stable")
+    doc, column, weight = doc[order], column[order], weight[order]
+    for first in range(0, int(often.sum()), COLUMNS):
+        s, e = np.searchsorted(column, [first, first + COLUMNS])
+        held = np.zeros((n, COLUMNS), dtype=np.float32)
+        held[doc[s:e], column[s:e] - first] = 1
+        shared += held[left] @ held[right].T
+    # What repeated shingles add to one each.
+    at = [np.full(n, -1), np.full(n, -1)]
+    for place, side in zip(at, (left, right)):
+        place[side] = np.arange(len(side))
+    more = np.flatnonzero(weight > 1)
+    bounds = np.flatnonzero(np.append(True, column[more][1:] != column[more][:-1])) if len(more) else []
+    for s, e in zip(bounds, np.append(bounds[1:], len(more))):
+        own, extra = doc[more[s:e]], weight[more[s:e]] - 1
+        rows, columns = (place[own] >= 0 for place in at)
+        shared[np.ix_(at[0][own[rows]], at[1][own[columns]])] += np.minimum.outer(extra[rows], extra[columns])
+    return shared
+
+
+def _forest(pairs: list[tuple[int, int]]) -> list[int]:
+    """Positions of the pairs that join two trees, in their order."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(pairs):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+    return kept
+
+
+_LINK = "a binary, b binary, similarity double"
+
+
+def _meet_blocks(threshold: float):
+    """Links of one pair of blocks of a bucket: a spanning forest over the components."""
+
+    def apply(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        nodes, block = group["node"].to_pylist(), group["block"].to_numpy()
+        names = {x: k for k, x in enumerate(dict.fromkeys(group["label"].to_pylist()))}
+        label = np.array([names[x] for x in group["label"].to_pylist()])
+        signature = np.frombuffer(b"".join(group["signature"].to_pylist()), dtype=np.uint32).reshape(-1, COMPONENTS)
+        band = np.array(group["bands"].to_pylist(), dtype=np.int64).reshape(-1, BANDS)
+        key, i, j = (group[c][0].as_py() for c in ("key", "i", "j"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        agreement = np.zeros((len(left), len(right)), dtype=np.uint8)
+        for k in range(COMPONENTS):
+            agreement += signature[left, k][:, None] == signature[right, k]
+        open_pairs = (agreement >= LEAST_AGREEMENT * COMPONENTS) & (label[left][:, None] != label[right])
+        for k in range(int(np.argmax(band[0] == key))):  # pairs that an earlier bucket holds
+            open_pairs &= band[left, k][:, None] != band[right, k]
+        if i == j:
+            open_pairs = np.triu(open_pairs)
+        a, b = np.nonzero(open_pairs)
+        links = []
+        if len(a):
+            rows, columns = np.unique(a), np.unique(b)
+            left, right, open_pairs = left[rows], right[columns], open_pairs[np.ix_(rows, columns)]
+            used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+            parts = [
+                (doc + piece.first, item, weight)
+                for piece in slices(group["text"].take(pa.array(used)).combine_chunks().cast(pa.large_string()))
+                for doc, item, weight in [shingles(piece)]
+            ]
+            doc, item, weight = (np.concatenate(x) for x in zip(*parts))
+            total = np.bincount(doc, weights=weight, minlength=len(used))
+            x, y = place[: len(left)], place[len(left) :]
+            shared = _overlaps(doc, item, weight, x, y)
+            similarity = shared / (total[x][:, None] + total[y] - shared)
+            a, b = np.nonzero(open_pairs & (similarity >= threshold))
+            found = similarity[a, b]
+            order = np.argsort(-found, kind="stable")
+            a, b, found = left[a[order]], right[b[order]], found[order]
+            kept = _forest(list(zip(label[a].tolist(), label[b].tolist())))
+            links = [(*sorted((nodes[a[k]], nodes[b[k]])), found[k]) for k in kept]
+        one, other, found = zip(*links) if links else ((), (), ())
+        return pa.table([pa.array(one, pa.binary()), pa.array(other, pa.binary()), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+
+    return apply
+
+
 def node_key(text: str = "text"):
     """128-bit key of a text; a missing text counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
@@ -223,49 +323,29 @@ def _links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     nodes = land(
         rows.filter("weight > 0")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")),
+        .agg(
+            F.min("doc_id").alias("doc_id"),
+            F.first("weight").alias("weight"),
+            F.first("signature").alias("signature"),
+            F.first("bands").alias("bands"),
+        ),
         "bag-nodes",
     )
-    levels = _levels(nodes)
-    pairs = None
-    for members in levels:
-        met = members.select("node", F.explode("leaders").alias("leader")).filter("node <> leader").select(*_ordered("node", "leader"))
-        pairs = met if pairs is None else pairs.union(met)
-    links = _verified(docs, nodes, pairs, threshold)
-    labels = connected_components(links)
-    small = None
-    for members in levels:
-        inside = members.filter((F.col("n") > 3) & (F.col("n") <= SMALL) & ~F.array_contains("leaders", F.col("node")))
-        met = _all_meet(_labelled(inside.select("key", "node"), labels))
-        small = met if small is None else small.union(met)
-    large = levels[0].filter(F.col("n") > SMALL).select("key", "node")
-    meetings = small.union(_meet_hubs(_labelled(large, labels), links))
-    while True:
-        more = _verified(docs, nodes, meetings, threshold)
-        found, compared = more.count(), meetings.select("a").union(meetings.select("b")).distinct().count()
-        links = links.union(more)
-        if found * WORTH < compared or not found:
-            return rows.select("doc_id", "node"), links
-        meetings = _meet_hubs(_labelled(large, connected_components(links)), links)
-
-
-def _levels(nodes: DataFrame) -> list[DataFrame]:
-    """Landed members ``key, node, n, leaders`` of the buckets of one, two and three bands."""
-    band = lambda k: F.col("bands")[(F.col("j") + k) % BANDS]
-    keys = nodes.select("node", "bands", F.posexplode("bands").alias("j", "key")).select(
-        "key", "node", F.xxhash64("key", band(1)).alias("key2"), F.xxhash64("key", band(1), band(2)).alias("key3")
-    )
-    levels = [_members(keys)]
-    for name in ("key2", "key3"):
-        large = levels[-1].filter(F.col("n") > SMALL)
-        if large.isEmpty():
-            break
-        levels.append(_members(large.select(F.col(name).alias("key"), "node", "key2", "key3")))
-    return levels
-
-
-def _members(keys: DataFrame) -> DataFrame:
-    """Rows of keys that several nodes have, with the leaders and size of their bucket."""
+    members = _members(nodes)
+    led = members.select("node", F.explode("leaders").alias("leader")).filter("node <> leader")
+    links = _verified(docs, nodes, led.select(*_ordered("node", "leader")), threshold)
+    inside = members.filter((F.col("n") > 2) & (F.col("n") <= SMALL) & ~F.array_contains("leaders", F.col("node")))
+    small = _all_meet(_labelled(inside.select("key", "node"), connected_components(links)))
+    links = links.union(_verified(docs, nodes, small, threshold))
+    large = members.filter(F.col("n") > SMALL).select("key", "node")
+    if not large.isEmpty():
+        links = links.union(_block_links(docs, nodes, large, connected_components(links), threshold))
+    return rows.select("doc_id", "node"), links
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """Landed members ``key, node, n, leaders`` of the buckets that several nodes have."""
+    keys = nodes.select(F.explode("bands").alias("key"), "node")
     leaders = (
         keys.groupBy("key")
         .agg(
@@ -287,20 +367,30 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return found.join(land(split.select("key"), "bag-split"), "key", "left_semi")
 
 
-def _meet_hubs(apart: DataFrame, links: DataFrame) -> DataFrame:
-    """Landed pairs of each bucket's hubs with the texts outside their components."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    hubs = None
-    rank = F.struct("degree", F.xxhash64("node").alias("h"), "node", "label")
-    linked = land(apart.join(degree, "node"), "bag-linked")
-    for _ in range(HUBS):
-        one = linked.groupBy("key").agg(F.max(rank).alias("one")).select("key", F.col("one.node").alias("hub"), F.col("one.label").alias("of"))
-        one = land(one, "bag-hubs")
-        hubs = one if hubs is None else hubs.union(one)
-        # The next hub is of another component.
-        linked = linked.join(one.select("key", "of"), "key").filter("label <> of").drop("of")
-    met = apart.join(hubs, "key").filter("label <> of")
-    return land(met.select(*_ordered("node", "hub")).distinct(), "bag-meetings")
+def _block_links(docs: DataFrame, nodes: DataFrame, large: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Landed links between the components (``labels``) of each bucket of ``large`` (``key, node``)."""
+    weighed = large.join(nodes.select("node", "weight"), "node").join(labels, "node", "left")
+    found = land(weighed.select("key", "node", "weight", F.coalesce("label", "node").alias("label")), "bag-labelled")
+    parts = found.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    shape = parts.groupBy("key").agg(F.max(F.struct("n", "w", "label")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_WORDS)).cast("int")
+    shape = shape.filter("n > main.n").select(
+        "key",
+        F.col("main.label").alias("main"),
+        blocks(F.col("main.n"), F.col("main.w")).alias("mains"),
+        blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("rests"),
+    )
+    # The largest component comes first and does not meet itself.
+    in_main = F.col("label") == F.col("main")
+    dealt = lambda n: F.pmod(F.xxhash64("node", "key"), n).cast("int")
+    last = F.col("mains") + F.col("rests") - 1
+    block = F.when(in_main, dealt(F.col("mains"))).otherwise(F.col("mains") + dealt(F.col("rests")))
+    met = F.explode(F.sequence(F.when(in_main, F.col("mains")).otherwise(0), last))
+    sent = found.join(land(shape, "bag-shapes"), "key").select("key", "node", "label", block.alias("block"), met.alias("other"))
+    sent = land(sent.select("key", "node", "label", "block", *_ordered("block", "other", "i", "j")), "bag-sent")
+    texts = _texts(docs, nodes, sent.select("node").distinct())
+    whole = sent.join(nodes.select("node", "signature", "bands"), "node").join(texts, "node")
+    return land(whole.groupBy("key", "i", "j").applyInArrow(_meet_blocks(threshold), _LINK), "bag-links")
 
 
 def _all_meet(apart: DataFrame) -> DataFrame:
@@ -311,8 +401,8 @@ def _all_meet(apart: DataFrame) -> DataFrame:
     return both.filter("left.label <> right.label").select(*_ordered("left.node", "right.node"))
 
 
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _ordered(x: str, y: str, a: str = "a", b: str = "b") -> list:
+    return [F.least(x, y).alias(a), F.greatest(x, y).alias(b)]
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -322,20 +412,25 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: fl
     signed = pairs.distinct().join(signature("a"), "a").join(signature("b"), "b")
     likely = land(signed.mapInArrow(_agreeing, key), "bag-pairs")
     wanted = likely.select("a").union(likely.select("b")).distinct().toDF("node")
+    texts = _texts(docs, nodes, wanted)
+    text = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+    checked = likely.join(text("b"), "b").join(text("a"), "a")
+    return land(checked.mapInArrow(_verify(threshold), _LINK), "bag-links")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Landed ``node, text`` of the nodes ``wanted``."""
     one_each = land(nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("n"), F.col("doc_id").alias("d")), "bag-wanted")
     if one_each.count() <= SENT_KEYS:
         one_each = F.broadcast(one_each)
     body = F.coalesce(F.col("text"), F.lit("")).alias("text")
     whole = docs.select("doc_id", node_key().alias("node"), body)
-    texts = land(
+    return land(
         whole.join(one_each, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
         .select("node", "text")
         .dropDuplicates(["node"]),
         "bag-texts",
     )
-    text = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
-    checked = likely.join(text("b"), "b").join(text("a"), "a")
-    return land(checked.mapInArrow(_verify(threshold), key + ", similarity double"), "bag-links")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from chatloom.llm import neardup
@@ -32,3 +33,46 @@ def test_families_keep_their_links(spark):
     assert together >= 0.9 * len(links) and len(links) > 100
     apart = neardup.near_duplicate_report(frame.filter("doc_id IN (0, 100)")).collect()
     assert len({r.class_id for r in apart}) == 2
+
+
+def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
+    """A family of texts just below the threshold hides a few links; classes equal brute force."""
+    monkeypatch.setattr(neardup, "BLOCK", 24)  # several blocks in a bucket
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    template = [word() for _ in range(8)] * 3 + [word() for _ in range(276)]
+    texts = []
+    for k in range(150):
+        own = template[:264] + [word() for _ in range(36)]
+        texts.append(own)
+        if k % 6 == 0:
+            cut = rng.randrange(20, 30)
+            texts.append(own[:-cut] + [word() for _ in range(cut)])
+    texts = [" ".join(t) for t in texts]
+    bags = [b for piece in slices(pa.array(texts, pa.large_string())) for b in neardup._bag(piece)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.bag_similarity(bags[i], bags[j]) >= 0.8]
+    assert 10 < len(links) < len(texts)
+    class_of = list(range(len(texts)))
+    for i, j in links:
+        low, high = sorted((class_of[i], class_of[j]))
+        class_of = [low if c == high else c for c in class_of]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicate_report(frame).collect()}
+    assert found == dict(enumerate(class_of))
+
+
+def test_overlaps_of_blocks_equal_those_of_pairs():
+    """Overlaps of a block equal those of single pairs, with repeated shingles."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(1, 60))) for _ in range(40)]
+    doc, item, weight, bags = [], [], [], []
+    for piece in slices(pa.array(texts, pa.large_string())):
+        d, i, w = neardup.shingles(piece)
+        doc, item, weight = [*doc, *(d + piece.first)], [*item, *i], [*weight, *w]
+        bags += neardup._bag(piece)
+    left, right = np.arange(0, 40, 2), np.arange(1, 40, 3)
+    shared = neardup._overlaps(np.array(doc), np.array(item), np.array(weight), left, right)
+    for x, a in enumerate(left):
+        for y, b in enumerate(right):
+            total = bags[a][1].sum() + bags[b][1].sum()
+            assert a == b or abs(shared[x, y] / (total - shared[x, y]) - neardup.bag_similarity(bags[a], bags[b])) < 1e-12
