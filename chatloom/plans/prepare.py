@@ -132,12 +132,12 @@ def _write_landed(chats, bases, run_id, cfg, fine_tune, counter, found=None) ->
 
 
 def write_outputs(
-    reviewed: DataFrame, bases: Sequence[str], cfg: PrepConfig, many_runs: bool = False
+    reviewed: DataFrame, bases: Sequence[str], cfg: PrepConfig, many_runs: bool = False, tasks: int | None = None
 ) -> None:
     """Processed blocks and training lines, each under its block's ``run_id``."""
     lines = runs.processed_lines(reviewed, cfg.whole_chat_rows)
-    runs.write_dataset(lines, bases, runs.PROCESSED, many_runs)
-    runs.write_dataset(runs.train_lines(reviewed), bases, runs.TRAIN, many_runs)
+    runs.write_dataset(lines, bases, runs.PROCESSED, many_runs, tasks)
+    runs.write_dataset(runs.train_lines(reviewed), bases, runs.TRAIN, many_runs, tasks)
 
 
 def write_descriptions(
@@ -147,12 +147,13 @@ def write_descriptions(
     cfg: PrepConfig,
     fine_tune: FineTuneConfig,
     many_runs: bool = False,
+    tasks: int | None = None,
 ) -> None:
     """Metadata and block breakdown of every run in ``totals`` (with ``run_id``)."""
     metadata = runs.run_metadata(totals, None, cfg, fine_tune)
     lines = metadata.select("run_id", F.to_json(F.struct("key", "value")).alias("value"))
-    runs.write_dataset(lines, bases, runs.METADATA, many_runs)
+    runs.write_dataset(lines, bases, runs.METADATA, many_runs, tasks)
     breakdown = stats.block_breakdown(reviewed, ["run_id"]).select(
         "run_id", F.to_json(F.struct("contact_name", "num_blocks")).alias("value")
     )
-    runs.write_dataset(breakdown, bases, runs.BREAKDOWN, many_runs)
+    runs.write_dataset(breakdown, bases, runs.BREAKDOWN, many_runs, tasks)

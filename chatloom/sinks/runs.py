@@ -7,9 +7,10 @@ writes and touches no others, so a repeated run leaves the same files.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.config import FineTuneConfig, PrepConfig
@@ -24,25 +25,40 @@ BREAKDOWN, METADATA = "breakdown.jsonl", "metadata.jsonl"
 
 
 def write_dataset(
-    lines: DataFrame, bases: Sequence[str], dataset: str, many_runs: bool = False
+    lines: DataFrame, bases: Sequence[str], dataset: str, many_runs: bool = False, tasks: int | None = None
 ) -> None:
     """Write rows of ``run_id`` and ``value`` to every destination.
 
-    Rows of many runs are gathered by run first, so that a run gets few files;
-    rebalancing splits a run that is too large for one task.
+    Rows of many runs are gathered by run first, so that a run gets few files.
+    With ``tasks`` that many tasks share the runs, since files cost more than
+    bytes when runs are small; without, rebalancing splits a run that is too
+    large for one task. Many runs are added to what is there, which
+    ``clear_runs`` empties first: replacing renames one partition after the
+    other on the driver.
     """
     rows = lines.select("value", "run_id", F.lit(dataset).alias("data"))
     if many_runs:
-        rows = rows.hint("rebalance", "run_id")
+        rows = rows.repartition(tasks, "run_id") if tasks else rows.hint("rebalance", "run_id")
     for base in bases:
         (
-            rows.write.mode("overwrite")
+            rows.write.mode("append" if many_runs else "overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("run_id", "data")
             .text(base)
         )
 
 
+def clear_runs(spark: SparkSession, bases: Sequence[str], run_ids: Sequence[str]) -> None:
+    """Delete what earlier attempts have written of these runs."""
+    new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for base in bases:
+        store = new_path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if store.exists(new_path(base)):
+            with ThreadPoolExecutor(16) as pool:
+                # A missing folder is no error.
+                list(pool.map(lambda run_id: store.delete(new_path(f"{base}/run_id={run_id}"), True), run_ids))
+
+
 def dataset_path(base: str, run_id: str, dataset: str) -> str:
     return f"{base.rstrip('/')}/run_id={run_id}/data={dataset}"
 

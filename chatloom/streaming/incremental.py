@@ -32,6 +32,9 @@ from chatloom.session import land, scratch_scope
 from chatloom.sinks import runs
 from chatloom.sources import exports, split
 
+# Runs, and bytes of documents, that one task writes.
+RUNS_PER_TASK, BYTES_PER_TASK = 50, 64 << 20
+
 LEDGER = (
     "run_id string, source string, type string, status string, created_at timestamp,"
     " error string, n_chats int, num_chats bigint, num_blocks bigint,"
@@ -147,6 +150,9 @@ def _prepare(spark, files, out, cfg, counter, fine_tune, whole_bytes) -> DataFra
     ids = _submitted(spark, files)
     small = [_literal(f.path) for f in files if f.size <= whole_bytes]
     large = [_literal(f.path) for f in files if f.size > whole_bytes]
+    # Runs of large documents are split by rebalancing instead.
+    tasks = None if large else max(len(files) // RUNS_PER_TASK, sum(f.size for f in files) // BYTES_PER_TASK) + 1
+    runs.clear_runs(spark, bases, [f.run_id for f in files])
     report = raw = messages = None
     if small:
         texts = spark.read.text(small, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
@@ -162,14 +168,14 @@ def _prepare(spark, files, out, cfg, counter, fine_tune, whole_bytes) -> DataFra
         raw = _plus(raw, split.raw_lines(found).join(run, "source").select("run_id", "value"))
         messages = _plus(messages, split.split_messages(found, run))
     report = land(report, "reports")
-    runs.write_dataset(raw, bases, runs.RAW, many_runs=True)
+    runs.write_dataset(raw, bases, runs.RAW, many_runs=True, tasks=tasks)
     reviewed = land(prepare_chats(landed_messages(messages), cfg, counter), "blocks")
-    write_outputs(reviewed, bases, cfg, many_runs=True)
+    write_outputs(reviewed, bases, cfg, many_runs=True, tasks=tasks)
     ok = report.filter(F.col("status") == exports.OK).select("run_id")
     found_stats = stats.chat_stats(reviewed, ["run_id"])
     counts = ["num_chats", "num_blocks"]  # a run without kept blocks has zeros
     totals = land(ok.join(found_stats, "run_id", "left").fillna(0, counts), "totals")
-    write_descriptions(totals, reviewed, bases, cfg, fine_tune, many_runs=True)
+    write_descriptions(totals, reviewed, bases, cfg, fine_tune, many_runs=True, tasks=tasks)
     return _ledger_rows(report).join(totals, "run_id", "left")
 
 
