@@ -385,12 +385,15 @@ def _block_links(docs: DataFrame, nodes: DataFrame, large: DataFrame, labels: Da
     dealt = lambda n: F.pmod(F.xxhash64("node", "key"), n).cast("int")
     last = F.col("mains") + F.col("rests") - 1
     block = F.when(in_main, dealt(F.col("mains"))).otherwise(F.col("mains") + dealt(F.col("rests")))
-    met = F.explode(F.sequence(F.when(in_main, F.col("mains")).otherwise(0), last))
-    sent = found.join(land(shape, "bag-shapes"), "key").select("key", "node", "label", block.alias("block"), met.alias("other"))
-    sent = land(sent.select("key", "node", "label", "block", *_ordered("block", "other", "i", "j")), "bag-sent")
-    texts = _texts(docs, nodes, sent.select("node").distinct())
-    whole = sent.join(nodes.select("node", "signature", "bands"), "node").join(texts, "node")
-    return land(whole.groupBy("key", "i", "j").applyInArrow(_meet_blocks(threshold), _LINK), "bag-links")
+    others = F.sequence(F.when(in_main, F.col("mains")).otherwise(0), last)
+    placed = found.join(land(shape, "bag-shapes"), "key").select("key", "node", "label", block.alias("block"), others.alias("others"))
+    placed = land(placed, "bag-placed")
+    texts = _texts(docs, nodes, placed.select("node").distinct())
+    # A member is joined once and then sent to every block that it meets.
+    whole = placed.join(nodes.select("node", "signature", "bands"), "node").join(texts, "node")
+    sent = whole.withColumn("other", F.explode("others")).drop("others")
+    sent = sent.select("*", *_ordered("block", "other", "i", "j")).drop("other")
+    return land(sent.groupBy("key", "i", "j").applyInArrow(_meet_blocks(threshold), _LINK), "bag-links")
 
 
 def _all_meet(apart: DataFrame) -> DataFrame:

@@ -76,3 +76,26 @@ def test_overlaps_of_blocks_equal_those_of_pairs():
         for y, b in enumerate(right):
             total = bags[a][1].sum() + bags[b][1].sum()
             assert a == b or abs(shared[x, y] / (total - shared[x, y]) - neardup.bag_similarity(bags[a], bags[b])) < 1e-12
+
+
+def test_members_are_joined_once_whatever_the_blocks(spark, monkeypatch):
+    """Rows of a large bucket that are joined with their texts do not grow with its blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    template = [word() for _ in range(264)]
+    rows = [(k, " ".join(template + [word() for _ in range(36)])) for k in range(100)]
+    landed, plain = {}, neardup.land
+
+    def counted(frame, purpose):
+        found = plain(frame, purpose)
+        landed.setdefault(purpose, []).append(found)
+        return found
+
+    monkeypatch.setattr(neardup, "land", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.near_duplicate_report(frame).collect()
+    assert all(r.class_id == r.doc_id for r in found)
+    placed = next(x[0] for name, x in landed.items() if name in ("bag-placed", "bag-sent"))
+    n = placed.count()
+    assert n == placed.select("key", "node").distinct().count() > 100
