@@ -216,19 +216,32 @@ def train(
         .mapInArrow(_features, "lang string, slots array<int>, counts array<float>")
         .toArrow()
     )
-    # The order of rows depends on scheduling; sorting makes the fit repeatable.
-    table = list(zip(*[rows[c].to_pylist() for c in ("lang", "slots", "counts")]))
-    plain = sorted(r for r in table if r[0] is not None)
+    return fit_centroids(*sampled_counts(rows))
+
+
+def sampled_counts(rows: pa.Table) -> tuple[np.ndarray, list[str], Iterator[np.ndarray]]:
+    """Counts and languages of the texts of a sample in a fixed order, and blocks of counts of their parts."""
+    # Numbers stay in arrays; as Python objects they would take nine times the memory.
+    slots, counts = (rows[c].combine_chunks() for c in ("slots", "counts"))
+    bounds = np.append(0, np.cumsum(slots.value_lengths().to_numpy(zero_copy_only=False)))
+    slots, counts = (v.flatten().to_numpy(zero_copy_only=False) for v in (slots, counts))
+    langs = rows["lang"].to_pylist()
+
+    def order(i):
+        at = slice(bounds[i], bounds[i + 1])
+        return langs[i], slots[at].astype(">i4").tobytes(), counts[at].astype(">f4").tobytes()
 
     def dense(some):
-        counts = np.zeros((len(some), DIMENSIONS), dtype=np.float32)
-        for i, (_, slots, values) in enumerate(some):
-            counts[i, slots] = values
-        return counts
+        out = np.zeros((len(some), DIMENSIONS), dtype=np.float32)
+        for k, i in enumerate(some):
+            out[k, slots[bounds[i] : bounds[i + 1]]] = counts[bounds[i] : bounds[i + 1]]
+        return out
 
-    parts = [r for r in table if r[0] is None]
+    # The order of rows depends on scheduling; sorting makes the fit repeatable.
+    plain = sorted((i for i, lang in enumerate(langs) if lang is not None), key=order)
+    parts = [i for i, lang in enumerate(langs) if lang is None]
     blocks = (dense(parts[i : i + 1024]) for i in range(0, len(parts), 1024))
-    return fit_centroids(dense(plain), [lang for lang, _, _ in plain], blocks)
+    return dense(plain), [langs[i] for i in plain], blocks
 
 
 _ANSWER = (
