@@ -488,3 +488,24 @@ def test_pipeline_keeps_clean_documents(spark, docs, texts):
     benchmark = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     wanted = {i for i in set(classes.values()) if not any(b in texts[i] for b in benchmark)}
     assert len(wanted - set(ids)) <= 3
+
+
+def test_straight_chains_are_judged_together():
+    """Many chains at once give what each gives alone."""
+    rng = np.random.default_rng(6)
+    sides, starts, ends = ([], []), [], []
+    for _ in range(600):
+        a, b = (rng.integers(0, 256, int(rng.integers(20, 200))).astype(np.uint8) for _ in range(2))
+        n = int(rng.integers(5, 20))
+        start = (int(rng.integers(0, len(a) - n + 1)), int(rng.integers(0, len(b) - n + 1)))
+        low, high = min(start), min(len(a) - start[0], len(b) - start[1])
+        own, other = (slice(s - low, s + high) for s in start)
+        b[other] = np.where(rng.random(low + high) < rng.choice([0.05, 0.2, 0.4]), b[other], a[own])
+        sides[0].append(a)
+        sides[1].append(b)
+        starts.append(start)
+        ends.append((start[0] + n, start[1] + n))
+    want = [passages.may_reach(a, b, s, e) for a, b, s, e in zip(*sides, starts, ends)]
+    flat = [(np.concatenate(x), np.cumsum([0] + [len(v) for v in x])) for x in sides]
+    found = passages.reachable(*flat, *(tuple(np.array(c) for c in zip(*x)) for x in (starts, ends)))
+    assert found.tolist() == want and 50 < sum(want) < 550
