@@ -176,6 +176,37 @@ def test_maximum_entropy_learns_contexts():
     assert np.exp(log_class[0, 40 // lm.WIDTH]) > 0.8 and np.exp(log_class[1, lm.CLASSES]) > 0.8
 
 
+def test_words_outside_the_slots_have_context_features(spark):
+    """Rare words that follow each other score higher together, at equal counts."""
+    rng = random.Random(3)
+    names = [f"n{k}" for k in range(400)]  # fill the slots
+    first, second = ([f"{c}{k}x" for k in range(30)] for c in "ab")
+    rows = [(i, " ".join(rng.choices(names, k=300))) for i in range(40)]
+    for i in range(40, 100):
+        pairs = [f"{a} {b} {' '.join(rng.choices(names, k=2))}" for a, b in zip(first, second)]
+        rows.append((i, " ".join(pairs)))
+    held = [i for i in range(100, 1000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    for k in range(30):
+        rows.append((held[2 * k], f"{first[k]} {second[k]}"))
+        rows.append((held[2 * k + 1], f"{first[k]} {second[(k + 7) % 30]}"))
+    found = {r.doc_id: r for r in lm.lm_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    together, apart = ([found[held[2 * k + side]].score for k in range(30)] for side in (0, 1))
+    assert all(found[i].held_out and found[i].n_known == 3 for i in held[:60])
+    assert np.mean(together) > np.mean(apart) + 0.5
+    assert sum(t > a for t, a in zip(together, apart)) >= 25
+
+
+def test_hashed_features_sum_to_one():
+    rng = np.random.default_rng(5)
+    cells = rng.integers(0, 3, lm.CELLS)
+    totals = rng.integers(0, 5, 16**lm.DIGITS)
+    hashed = lm.new_hashed(cells, totals)
+    rows = [rng.integers(0, lm.NO_ROW + 1, 16) for _ in range(3)]
+    for base, n in ((np.log(np.full((16, 17), 1 / 17, dtype=np.float32)), 17), (hashed.shares[2][:16], 16)):
+        sums = sum(10 ** hashed.log10(base, np.full(16, k), rows) for k in range(n))
+        assert np.allclose(sums, 1, atol=1e-5)
+
+
 def test_spelling_sums_to_one():
     grams = np.array([[256] * (lm.ORDER - 2) + [97, 98], [256] * (lm.ORDER - 1) + [97]])
     keys = np.array([int(sum(b * 257 ** (lm.ORDER - 1 - i) for i, b in enumerate(g))) for g in grams])
