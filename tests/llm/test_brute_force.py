@@ -456,6 +456,61 @@ def test_passages_of_common_lines(spark):
     assert {a for a, _ in pairs} == set(range(20)) and {b for _, b in pairs} <= set(range(20))
 
 
+def test_passages_of_holders_that_are_no_representatives(spark):
+    """Pairs that share one common line and scattered words are found among all its holders."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    words = lambda n: [word() for _ in range(n)]
+    line = words(20)
+    rows, wanted = [], set()
+    for pair in range(15):
+        # Every fifth word differs, so that the line has the only common seeds.
+        before, behind = words(20), words(20)
+        for _ in range(2):
+            own = lambda shared: [word() if k % 5 == 4 else w for k, w in enumerate(shared)]
+            rows.append((len(rows), [*words(30), *own(before), word(), *line, word(), *own(behind), *words(30)]))
+        wanted |= {(2 * pair, 2 * pair + 1), (2 * pair + 1, 2 * pair)}
+    # Twins whose second line is moved by a word.
+    other = words(20)
+    for pair in range(15, 20):
+        behind = words(16)
+        for twin in range(2):
+            own = [word() if k % 5 == 4 else w for k, w in enumerate(behind)]
+            rows.append((len(rows), [*words(30), *line, *words(2 + twin), *other, word(), *own, *words(30)]))
+    rows += [(i, [*words(40), *line, *words(40)]) for i in range(40, 700)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    pairs = {(r.doc_id, r.match_id) for r in passages.shared_passages(docs).collect()}
+    assert wanted <= pairs and {a for a, _ in pairs} == set(range(40))
+
+
+@pytest.mark.parametrize("wide", [3, 1000])
+def test_all_pairs_of_large_groups_are_judged(monkeypatch, wide):
+    """Blocks and chunks give the pairs that plain loops give."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(passages, "AT_ONCE", 50)
+    monkeypatch.setattr(passages, "WIDE", wide)
+    blocks, n = 4, 90
+    flanks = rng.integers(0, 3, (n, 2 * passages.FLANK)).astype(np.uint8)
+    base = {
+        "key": np.zeros(n), "a": rng.integers(0, 80, n), "x": np.arange(n), "n": np.full(n, 9), "step": np.zeros(n), "more": np.zeros(n),
+        "span": rng.integers(20, 36, n), "gap": np.zeros(n), "label": rng.integers(0, 3, n), "holders": np.full(n, n), "block": rng.integers(0, blocks, n),
+    }
+    dealt = [(min(b, o), max(b, o), r) for r, b in enumerate(base["block"]) for o in range(blocks)]
+    dealt = np.array(sorted(dealt))
+    rows = {c: v[dealt[:, 2]].astype(np.int64) for c, v in base.items()} | {"i": dealt[:, 0], "j": dealt[:, 1]}
+    p, q = passages.possible_pairs(rows, flanks[dealt[:, 2]])
+    found = [tuple(sorted(x)) for x in zip(dealt[p, 2].tolist(), dealt[q, 2].tolist())]
+    want = set()
+    for r in range(n):
+        for o in range(r + 1, n):
+            flank = 50 - max(base["span"][r], base["span"][o])
+            same = sum(flanks[r, s + k] == flanks[o, s + k] > 0 for s in (0, passages.FLANK) for k in range(flank))
+            least = passages.least_matches(np.array([50 - flank]), np.array([0]))[0]
+            if base["a"][r] != base["a"][o] and not base["label"][r] & base["label"][o] and same >= least:
+                want.add((r, o))
+    assert len(found) == len(set(found)) and set(found) == want and 100 < len(want) < 3000
+
+
 def test_no_passage_is_ruled_out():
     """Chains that end as passages are reachable, also when words share a sketch."""
     rng = np.random.default_rng(4)
