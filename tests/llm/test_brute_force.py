@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -483,6 +484,34 @@ def test_passages_of_holders_that_are_no_representatives(spark):
     assert wanted <= pairs and {a for a, _ in pairs} == set(range(40))
 
 
+def test_pairs_of_a_group_come_in_parts(monkeypatch):
+    """No batch of matches holds all pairs of a block, and together they are all pairs."""
+    n, most = 300, 500
+    monkeypatch.setattr(passages, "AT_ONCE", most)
+    whole = {c: pa.array(np.zeros(n), pa.int64()) for c in (*passages.REST, "i", "j", "block")}
+    whole |= {"a": pa.array(np.arange(n)), "n": pa.array(np.full(n, 9)), "span": pa.array(np.full(n, 13))}
+    flanks = pa.array([b"w" * 2 * passages.FLANK] * n, pa.binary())
+    batch = pa.RecordBatch.from_arrays([*whole.values(), flanks], [*whole, "flanks"])
+    found = list(passages._compare(iter([batch])))
+    assert max(b.num_rows for b in found) <= 2 * most
+    pairs = [p for b in found for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+    assert len(pairs) == n * (n - 1) and set(pairs) == {(a, b) for a in range(n) for b in range(n) if a != b}
+
+
+def test_chains_of_a_document_with_many_partners():
+    """Chains of matches sorted by both documents are those of the whole document, partner by partner."""
+    rng = np.random.default_rng(6)
+    rows = sorted({(1, int(b), int(x), int(x + rng.integers(0, 3))) for b in range(2, 40) for x in rng.integers(0, 300, 30)})
+    a, b, x, y = (np.array(c) for c in zip(*rows))
+    zero, one = np.zeros(len(a), dtype=np.int64), np.ones(len(a), dtype=np.int64)
+    columns = dict(a=a, x=x, n=3 * one, anchor=zero, many=zero, b=b, y=y, c=a, z=x)
+    parts = pa.table(columns).select(list(passages.MET)).to_batches(max_chunksize=50)
+    found = [r for out in passages._chain_pairs(iter(parts)) for r in out.to_pylist() if r["kind"] != passages.PAIR]
+    order = np.lexsort((y, b, x, a))
+    whole, _ = passages.chain_documents(*[columns[c][order] for c in passages.MET])
+    assert len(found) == len(whole.a) > 38 and {r["b"] for r in found} == set(range(2, 40))
+
+
 @pytest.mark.parametrize("wide", [3, 1000])
 def test_all_pairs_of_large_groups_are_judged(monkeypatch, wide):
     """Blocks and chunks give the pairs that plain loops give."""
